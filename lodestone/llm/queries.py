@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, quality_rules, simhash, toxicity, warc
+from .common import remainder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -32,9 +33,47 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    made = quality_rules.judge(docs, rules, keep=["doc_id"])
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.archive(table(spark, sf_dir, "pages"), least_bytes=0)
+    return warc.read(spark, manifest, payload=False).drop("url")
+
+
+def held_out(modulus: int, rest: int) -> Column:
+    """Whether a document is kept from learning; false for a null doc_id."""
+    return F.coalesce(remainder(F.col("doc_id"), modulus) == rest, F.lit(False)).alias("held_out")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold=(5, 0, False))
+    made = toxicity.score(docs, model, keep=["doc_id"])
+    return made.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
+    "op6_toxicity": op6_toxicity,
 }
 
-SQL: dict[str, str] = {}
+#: The 20 bytes of a SHA-1, given as hex, in base32: eight groups of 20 bits.
+_BASE32 = "array_to_string(list_transform(range(8), g -> array_to_string(list_transform(range(4), c -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, (5 * g + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * c)::INTEGER) & 31)::BIGINT + 1, 1)), '')), '')"
+
+SQL: dict[str, str] = {
+    "op5_warc": f"""
+        with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages),
+        q as (select *, min(page_id) over (partition by sha) as first from p)
+        select page_id, octet_length(encode(html)) as payload_bytes, {_BASE32} as payload_digest,
+            case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+            case when page_id is not distinct from first then null else first end as refers_to
+        from q""",
+}
