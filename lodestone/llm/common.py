@@ -40,6 +40,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, computed once, as a Parquet table in the shared folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bounds the Arrow batches of this session by bytes, as texts differ widely in length."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, simhash, toxicity, warc
+from . import bpe, lm, media, quality_rules, simhash, toxicity, warc
 from .common import remainder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,16 +57,38 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.with_features(media.load(spark, media.store(table(spark, sf_dir, "documents"))))
+    return read.select(
+        F.col("key").alias("doc_id"),
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = lm.score(docs, lm.fit(docs, F.coalesce(remainder(F.col("doc_id"), 7) != 2, F.lit(True))))
+    return made.select("doc_id", held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
+    "op7_media": op7_media,
+    "op8_lm": op8_lm,
 }
 
 #: The 20 bytes of a SHA-1, given as hex, in base32: eight groups of 20 bits.
-_BASE32 = "array_to_string(list_transform(range(8), g -> array_to_string(list_transform(range(4), c -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, (5 * g + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * c)::INTEGER) & 31)::BIGINT + 1, 1)), '')), '')"
+_BASE32 = "array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, (5 * g + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * c)::INTEGER) & 31)::BIGINT + 1, 1)), '')), '')"
 
 SQL: dict[str, str] = {
     "op5_warc": f"""
