@@ -84,14 +84,18 @@ def _ngrams(ids: np.ndarray, n: int, shorter: np.ndarray | None) -> np.ndarray:
             good &= p != START
     parts = [p[good] for p in parts]
     if shorter is not None:
-        for half in (parts[:-1], parts[1:]):
-            key = _key(half)
-            at = np.minimum(np.searchsorted(shorter, key), max(len(shorter) - 1, 0))
-            hit = shorter[at] == key if len(shorter) else np.zeros(len(key), bool)
-            parts = [p[hit] for p in parts]
+        hit = _among(_key(parts[:-1]), shorter) & _among(_key(parts[1:]), shorter)
+        parts = [p[hit] for p in parts]
     return _key(parts)
 
 
+def _among(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ones ``of``."""
+    if not len(of):
+        return np.zeros(len(keys), bool)
+    return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys
+
+
 def _key(parts: list[np.ndarray]) -> np.ndarray:
     key = parts[0].astype(np.int64)
     for p in parts[1:]:
