@@ -231,3 +231,10 @@ def judge(df: DataFrame, rules: DecisionList, text: str = "text", keep: list[str
     """The columns ``keep``, COUNTS, base_failed and kept: false if the base rule fails, else the list's verdict."""
     made = statistics(df, text, keep).withColumn("base_failed", base_failed())
     return made.withColumn("kept", ~F.col("base_failed") & (rules.column() == 1))
+
+
+def passed(df: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
+    """The rows that are kept, with all their own columns, whatever these are called."""
+    own = [f"_own{k}" for k in range(len(df.columns))]
+    judged = judge(df.toDF(*own), rules, own[df.columns.index(text)])
+    return judged.where("kept").select(*own).toDF(*df.columns)

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, media, quality_rules, simhash, toxicity, warc
+from . import bpe, licences, lm, media, mixing, quality, quality_rules, simhash, toxicity, warc
 from .common import remainder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -33,6 +33,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.calibrated(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.col("_source").alias("source_level"), F.col("_lang").alias("lang_level"), F.col("_topic").alias("topic_level"), F.col("_n_tokens").alias("n_tokens"), F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -77,25 +82,44 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "family", F.round("probability", 5).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold=(4, 2, False))
+    made = quality.score(docs, model, keep=["doc_id"])
+    return made.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op7_media": op7_media,
     "op8_lm": op8_lm,
+    "op9_licences": op9_licences,
+    "op10_quality": op10_quality,
 }
 
 #: The 20 bytes of a SHA-1, given as hex, in base32: eight groups of 20 bits.
 _BASE32 = "array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, (5 * g + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * c)::INTEGER) & 31)::BIGINT + 1, 1)), '')), '')"
 
-SQL: dict[str, str] = {
-    "op5_warc": f"""
+
+def sql() -> dict[str, str]:
+    """The SQL of the queries that SQL can express."""
+    return {"op3_mixing": mixing.sql(), "op5_warc": OP5, "op9_licences": licences.sql()}
+
+
+OP5 = f"""
         with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages),
         q as (select *, min(page_id) over (partition by sha) as first from p)
         select page_id, octet_length(encode(html)) as payload_bytes, {_BASE32} as payload_digest,
             case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
             case when page_id is not distinct from first then null else first end as refers_to
-        from q""",
-}
+        from q"""
