@@ -83,7 +83,8 @@ def rake(cells: dict[tuple[str, str, str], int], plan: Plan) -> dict[tuple[str,
 
 
 def calibrated(docs: DataFrame, plan: Plan = PLAN, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """``docs`` and _source, _lang, _topic (levels), _n_tokens, _probability and _sampled."""
+    """``docs`` and _source, _lang, _topic (levels), _n_tokens, _probability and _sampled, which replace columns of these names."""
+    docs = docs.drop("_source", "_lang", "_topic", "_n_tokens", "_probability", "_sampled")
     whole = F.coalesce(F.col(text), F.lit(""))
     levels = docs.withColumns(
         {
@@ -105,8 +106,10 @@ def calibrated(docs: DataFrame, plan: Plan = PLAN, key: str = "doc_id", text: st
 
 
 def sample(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
-    """The sampled rows with their own columns."""
-    return calibrated(docs, plan).where("_sampled").select(*docs.columns)
+    """The sampled rows with their own columns, whatever these are called."""
+    own = {c: f"_own{k}" for k, c in enumerate(docs.columns)}
+    made = calibrated(docs.toDF(*own.values()), plan, *(own[c] for c in ("doc_id", "text", "source", "lang")))
+    return made.where("_sampled").select(*own.values()).toDF(*docs.columns)
 
 
 def sql(plan: Plan = PLAN) -> str:

@@ -143,8 +143,10 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     found = checkpoint(clusters(df, key, text, size, seed, distance))
     if found.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
         return df.join(found.where(F.col(key) == F.col("component_id")).select(key), key, "left_semi").select(*df.columns)
-    rows = fingerprints(df, text, size, seed).withColumn("_digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    own = [f"_own{k}" for k in range(len(df.columns))]
+    name, whole = own[df.columns.index(key)], own[df.columns.index(text)]
+    rows = fingerprints(df.toDF(*own), whole, size, seed).withColumn("_digest", F.sha2(F.coalesce(F.col(whole), F.lit("")), 256))
     parts = found.groupBy("fp").agg(F.min(F.coalesce("component_id", "fp")).alias("_part"), F.min("component_id").isNull().alias("_nameless"))
-    rows = rows.join(parts, "fp").withColumn("_rank", F.struct(F.col(key).isNull(), F.col(key), F.col("fp"), F.col("_digest")))
+    rows = rows.join(parts, "fp").withColumn("_rank", F.struct(F.col(name).isNull(), F.col(name), F.col("fp"), F.col("_digest")))
     heads = rows.groupBy("_nameless", "_part").agg(F.min("_rank").alias("_rank")).select("_rank")
-    return rows.join(heads, "_rank", "left_semi").dropDuplicates(["_rank"]).select(*df.columns)
+    return rows.join(heads, "_rank", "left_semi").dropDuplicates(["_rank"]).select(*own).toDF(*df.columns)
