@@ -8,7 +8,7 @@ the probabilities, those of the class ``unknown`` as well. A prediction is confi
 ``CONFIRM`` of the 3-grams of one of the family's templates.
 
 Only lines with one of the words ``GATE`` can be anything but unknown; that is part of the model, and lets
-whole texts without them pass by in one regular expression.
+whole texts without them pass by.
 
 Null and empty texts have no rows; repeated rows give repeated rows; nothing is shuffled.
 """
@@ -20,11 +20,11 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-GATE = "(?i)licen[cs]e|licen[cs]ing|copyright|copyleft|public domain|permission|redistribution|warranty|creative ?commons|cc[ -](by|0|zero)|cc0|spdx"
+GATE = ("licen", "copyright", "copyleft", "public domain", "permission", "redistribut", "warrant", "creative common", "cc by", "cc-by", "cc0", "cc zero", "spdx")
 #: Least probability of a family, and least share of a template's 3-grams that confirms it.
 LEAST, CONFIRM = 0.5, 0.5
 
@@ -102,6 +102,15 @@ OTHERS = [
 ]
 
 
+def gate(text: Column) -> Column:
+    """Whether a text holds one of the words; plain searches over lower case, as no regular expression is as fast."""
+    low = F.lower(text)
+    out = F.contains(low, F.lit(GATE[0]))
+    for word in GATE[1:]:
+        out = out | F.contains(low, F.lit(word))
+    return out
+
+
 def grams(line: str) -> list[str]:
     t = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), line))
     return list(dict.fromkeys(" ".join(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)))
@@ -161,26 +170,29 @@ def model() -> dict:
     return {"classes": classes, "bias": [round(float(s), 6) for s in scale * b], "weights": {names[k]: [round(float(s), 6) for s in scale * w[k]] for k in kept}, "templates": templates}
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once for each row: generators aren't merged into what uses them."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, line, family, probability, similarity, confirmed): one row for each line of a family."""
     m = model()
-    lines = docs.where(F.col(text).rlike(GATE)).select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(GATE))
+    lines = docs.where(gate(F.col(text))).select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).where(gate(F.col("line")))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = F.expr("regexp_extract_all(_low, '[a-z0-9]+', 0)")
     joined = lambda n: F.expr(f"if(size(_words) < {n}, array(), transform(sequence(1, size(_words) - {n - 1}), i -> array_join(slice(_words, i, {n}), ' ')))")
     vocabulary, weights = F.array(*map(F.lit, m["weights"])), F.from_json(F.lit(json.dumps(m["weights"])), "map<string,array<double>>")
     templates = F.from_json(F.lit(json.dumps(m["templates"])), "map<string,array<array<string>>>")
-    made = lines.withColumn("_low", F.translate("line", upper, lower)).withColumn("_words", words)
-    made = made.withColumn("_grams", F.concat("_words", joined(2), joined(3)))
-    known = F.array_intersect("_grams", vocabulary)
+    made = _once(lines, "_words", F.expr(f"regexp_extract_all(translate(line, '{upper}', '{lower}'), '[a-z0-9]+', 0)"))
+    made = _once(made, "_grams", F.concat("_words", joined(2), joined(3)))
     bias = F.array(*map(F.lit, m["bias"]))
-    made = made.withColumn("_z", F.aggregate(known, bias, lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b)))
-    made = made.withColumn("_top", F.array_max("_z"))
-    made = made.withColumn("family", F.element_at(F.array(*map(F.lit, m["classes"])), F.array_position("_z", F.col("_top")).cast("int")))
+    made = _once(made, "_z", F.aggregate(F.array_intersect("_grams", vocabulary), bias, lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b)))
+    made = _once(made, "_top", F.array_max("_z"))
+    family = F.element_at(F.array(*map(F.lit, m["classes"])), F.array_position("_z", F.col("_top")).cast("int"))
     share = 1.0 / F.aggregate(F.col("_z"), F.lit(0.0), lambda acc, z: acc + F.exp(z - F.col("_top")))
+    made = _once(_once(made, "family", family), "probability", share).where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
     alike = F.array_max(F.transform(F.element_at(templates, F.col("family")), lambda t: F.size(F.array_intersect(t, F.col("_grams"))) / F.size(t)))
-    made = made.where(F.col("family") != UNKNOWN).withColumn("probability", share).where(F.col("probability") >= LEAST)
-    made = made.withColumn("similarity", alike)
+    made = _once(made, "similarity", alike)
     return made.select(key, "line_no", "line", "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))
 
 
@@ -188,12 +200,13 @@ def sql() -> str:
     """The registered query over ``documents``, for DuckDB, with the trained weights as values."""
     m = model()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    held = lambda c: "(" + " or ".join(f"contains(lower({c}), {quote(w)})" for w in GATE) + ")"
     weights = ", ".join(f"({quote(g)}, {k}, {v!r}::double)" for g, w in m["weights"].items() for k, v in enumerate(w) if v)
     bias = ", ".join(f"({k}, {quote(c)}, {b!r}::double)" for k, (c, b) in enumerate(zip(m["classes"], m["bias"])))
     temps = ", ".join(f"({quote(c)}, {n}, {quote(g)}, {len(t)})" for c, ts in m["templates"].items() for n, t in enumerate(ts) for g in t)
     return f"""
-        with s as (select doc_id, unnest(l) as line, unnest(range(len(l))) as line_no from (select doc_id, string_split(text, chr(10)) as l from documents where regexp_matches(text, '{GATE}'))),
-        w as (select doc_id, line_no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as t from s where regexp_matches(line, '{GATE}')),
+        with s as (select doc_id, unnest(l) as line, unnest(range(len(l))) as line_no from (select doc_id, string_split(text, chr(10)) as l from documents where {held('text')})),
+        w as (select doc_id, line_no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as t from s where {held('line')}),
         g as (select distinct doc_id, line_no, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] for i in range(1, len(t))], [t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] for i in range(1, len(t) - 1)])) as gram from w),
         weights(gram, k, v) as (values {weights}), classes(k, family, bias) as (values {bias}), templates(family, n, gram, size) as (values {temps}),
         y as (select doc_id, line_no, k, sum(v) as v from g join weights using (gram) group by all),
