@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -38,7 +39,10 @@ def _symbols() -> dict[str, str]:
 
 
 SYMBOLS = _symbols()
-_OPEN, _CLOSE, _ENDS, _GONE = "([{", ")]}", "?!;:.", "\"',"
+_OPEN, _CLOSE, _ENDS = "([{", ")]}", "?!;:."
+#: Runs of characters that are treated alike, and marks one by one (of which quotes and commas just go).
+_RUNS = re.compile(r"(?P<plain>[^\x00-\x20\x7f-\U0010ffff()\[\]{}\-?!;:.\"',]+)|(?P<wide>[\x80-\U0010ffff]+)|(?P<blank>[\x00-\x20\x7f]+)|(?P<mark>.)")
+_LETTER = re.compile("[A-Za-z0-9]")
 
 
 def ascii_name(ch: str) -> str:
@@ -52,7 +56,7 @@ def _blank(ch: str) -> bool:
 
 
 def _informs(text: str) -> bool:
-    return any(c.isascii() and c.isalnum() for c in text)
+    return _LETTER.search(text) is not None
 
 
 def clean_text(dirty: str | None, stemmer=stem) -> str:
@@ -66,39 +70,39 @@ def clean_text(dirty: str | None, stemmer=stem) -> str:
     open_: list[list[str]] = [[]]
     done: list[str] = []
     glued = False
-    for i, ch in enumerate(text):
+    size = len(text)
+    for m in _RUNS.finditer(text):
         here = open_[-1]
-        if ord(ch) > 127:
-            name = SYMBOLS.get(ch)
-            name = ascii_name(ch) if name is None else name
-            here.append(f"{{{name}}}" if len(name) > 1 or ch not in SYMBOLS else name)
+        run = m[0]
+        if m.lastgroup == "plain":
+            here.append(run.lower())
+            glued = glued or m.end() < size and text[m.end()] in _OPEN
             continue
-        after = text[i + 1] if i + 1 < len(text) else "\n"
-        after = "?" if ord(after) > 127 else after
-        if ch in _OPEN:
+        if m.lastgroup == "wide":
+            for ch in run:
+                name = SYMBOLS.get(ch)
+                here.append(name if name is not None and len(name) < 2 else f"{{{ascii_name(ch) if name is None else name}}}")
+            continue
+        after = text[m.end()] if m.end() < size else "\n"
+        if m.lastgroup == "blank":
+            # Of white space only the last character can count, and not before an opening bracket.
+            if after not in _OPEN and m.end() < size:
+                here.append(" ")
+        elif run in _OPEN:
             if not glued:
                 open_.append([])
             glued = False
-        elif ch in _CLOSE:
+        elif run in _CLOSE:
             if len(open_) > 1:
                 segment = "".join(open_.pop())
                 if _blank(after) or after == ".":
                     done.insert(0, segment)
                 else:
                     open_[-1].append(segment)
-        elif ch == "-":
+        elif run == "-":
             here.append("_")
-        elif ch in _ENDS:
-            if after in " \t\n\r\x0b\x0c":
-                here.append(" . ")
-        elif ch in _GONE:
-            pass
-        elif _blank(ch):
-            if not _blank(after) and after not in _OPEN:
-                here.append(" ")
-        else:
-            here.append(ch.lower())
-            glued = glued or after in _OPEN
+        elif run in _ENDS and after in " \t\n\r\x0b\x0c":
+            here.append(" . ")
     while open_:
         done.insert(0, "".join(open_.pop()))
     words: list[str] = []

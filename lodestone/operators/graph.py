@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,11 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return both.where("a <> b").groupBy("a", "b").agg(F.min("w").alias("w"))
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """The same, kept and partitioned by ``a`` for searches that join it each round; whoever asks for it unpersists it."""
+    return symmetric(edges).repartition(F.col("a")).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b, w) with a < b, each pair once."""
     return symmetric(edges).where("a < b")
@@ -52,12 +58,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return symmetric(edges).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, rounds: int | None = None, target: object = None) -> DataFrame:
+def distances(edges: DataFrame | None, sources: DataFrame, rounds: int | None = None, target: object = None, kept: DataFrame | None = None) -> DataFrame:
     """(source, node, dist, hops): shortest distances from each source (source), by relaxation to a fixed point.
 
-    rounds: at most so many hops. target: nodes no nearer than it aren't followed.
+    rounds: at most so many hops. target: nodes no nearer than it aren't followed. kept: an adjacency to use.
     """
-    sym = symmetric(edges)
+    sym = kept if kept is not None else adjacency(edges)
     best = checkpoint(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops")))
     frontier, k = best, 0
     while rounds is None or k < rounds:
@@ -77,6 +83,8 @@ def distances(edges: DataFrame, sources: DataFrame, rounds: int | None = None, t
         frontier = best.where(F.col("hops") == k)
         if frontier.isEmpty():
             break
+    if kept is None:
+        sym.unpersist()
     return best
 
 
@@ -89,20 +97,23 @@ def shortest_path(edges: DataFrame, source: object, target: object, rounds: int
     start = spark.range(1).select(F.lit(source).alias("source"))
     if source == target:
         return [(source, 0.0)]
-    found = distances(edges, start, rounds, target).select("node", "dist")
-    end = found.where(F.col("node") == F.lit(target)).first()
-    if end is None:
-        raise NoPath(f"no path from {source} to {target}")
-    path, sym = [(target, float(end["dist"]))], symmetric(edges)
-    while path[-1][0] != source:
-        node, dist = path[-1]
-        before = sym.where(F.col("b") == F.lit(node)).join(found.withColumnRenamed("node", "a"), "a")
-        tight = before.where((F.abs(F.col("dist") + F.col("w") - F.lit(dist)) < EPS) & (F.col("dist") < F.lit(dist))).orderBy("a").first()
-        if tight is None:  # edges of weight 0
-            seen = [n for n, _ in path]
-            tight = before.where((F.abs(F.col("dist") + F.col("w") - F.lit(dist)) < EPS) & ~F.col("a").isin(seen)).orderBy("dist", "a").first()
-        path.append((tight["a"], float(tight["dist"])))
-    return path[::-1]
+    sym = adjacency(edges)
+    try:
+        found = distances(None, start, rounds, target, sym).select("node", "dist")
+        end = found.where(F.col("node") == F.lit(target)).first()
+        if end is None:
+            raise NoPath(f"no path from {source} to {target}")
+        path = [(target, float(end["dist"]))]
+        while path[-1][0] != source:
+            node, dist = path[-1]
+            before = sym.where(F.col("b") == F.lit(node)).join(found.withColumnRenamed("node", "a"), "a")
+            before = before.where(F.abs(F.col("dist") + F.col("w") - F.lit(dist)) < EPS)
+            # Nearer nodes first; edges of weight 0 may lead to others of the same distance.
+            tight = before.where((F.col("dist") < F.lit(dist)) | ~F.col("a").isin([n for n, _ in path])).orderBy(F.col("dist") >= F.lit(dist), "a").first()
+            path.append((tight["a"], float(tight["dist"])))
+        return path[::-1]
+    finally:
+        sym.unpersist()
 
 
 def first_found_path(edges: DataFrame, source: object, target: object, exact: bool = False) -> list[tuple[object, float]]:

@@ -673,7 +673,7 @@ def papers_per_topic(s, d):
 @query()
 def lda_topics(s, d):
     docs = docs_of(s, d)
-    model, words = topics.train_lda(docs, k=5, rounds=3)
+    model, words = topics.train_lda(docs, k=5, rounds=3, min_df=5)
     return topics.view(model, words, 10)
 
 
