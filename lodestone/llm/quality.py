@@ -11,6 +11,7 @@ bias. Without labelled rows the score is 1 - that is, all is kept. Repeated rows
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,43 +26,52 @@ from pyspark.sql import types as T
 from .common import in_one_task, labelled_sample, map_arrow, texts
 
 BITS, SIZE = 16, 16
-#: Words whose slots a worker remembers, and characters of a word beyond which it has no n-grams.
+#: Words that a worker remembers, and characters of a word beyond which it has no n-grams.
 REMEMBERED, LONGEST = 300_000, 64
 #: No word, as it holds blanks.
 PAIR = " = "
-_slots: dict[str, np.ndarray] = {}
 
 
-def slots(word: str, bits: int = BITS) -> np.ndarray:
-    """The table's rows of a word and of its character n-grams."""
-    if (found := _slots.get(word)) is None:
-        if len(_slots) > REMEMBERED:
-            _slots.clear()
-        digest, shift, marked = xxhash.xxh64_intdigest, 64 - bits, f"<{word}>"
-        parts = [digest(word, 7) >> shift]
-        if len(word) <= LONGEST:
-            parts += [digest(marked[k : k + n]) >> shift for n in (3, 4, 5) for k in range(len(marked) - n + 1)]
-        found = _slots[word] = np.array(parts, np.int32)
-    return found
-
-
-def counted(text: str) -> Counter[str]:
-    """A text's words, and under PAIR how many of them are like the one before."""
-    words = text.split()
-    found = Counter(words)
-    if len(found) < len(words) and (n := sum(map(str.__eq__, words, words[1:]))):
-        found[PAIR] = n
-    return found
+def rows_of(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The table's rows of words and of their character n-grams, and how many each word has.
+
+    All words lie in one array of code points; windows of 3, 4 and 5 are hashed for all of them at once.
+    """
+    shift = np.uint64(64 - bits)
+    whole = np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64) >> shift
+    marked = [f"<{w}>" if len(w) <= LONGEST else "" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(words))
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    found, of = [whole], [np.arange(len(words))]
+    h = code
+    for n in (2, 3, 4, 5):
+        if len(code) < n:
+            break
+        h = (h[: len(code) - n + 1] * np.uint64(0x9E3779B97F4A7C15)) ^ code[n - 1 :]
+        if n > 2:
+            inside = owner[: len(h)] == owner[n - 1 :]
+            found.append((h[inside] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F) >> shift)
+            of.append(owner[: len(h)][inside])
+    at, of = np.concatenate(found), np.concatenate(of)
+    return at[np.argsort(of, kind="stable")].astype(np.int32), np.bincount(of, minlength=len(words))
+
+
+def repeats(words: list[str]) -> int:
+    """How many words are like the one before."""
+    return sum(map(str.__eq__, words, words[1:]))
 
 
 def bag(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows of a text and how often it has each."""
-    words = counted(text)
+    listed = text.split()
+    words = Counter(listed)
+    if n := repeats(listed):
+        words[PAIR] = n
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    found = [slots(w, bits) for w in words]
-    at = np.concatenate(found)
-    times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(x) for x in found])
+    at, sizes = rows_of(list(words), bits)
+    times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), sizes)
     distinct, back = np.unique(at, return_inverse=True)
     return distinct.astype(np.int32), np.bincount(back, times).astype(np.float32)
 
@@ -73,22 +83,42 @@ class Model:
     parts: np.ndarray
     bias: float
 
-    def score(self, text: str) -> float:
-        """The probability of class 1."""
-        total = n = 0.0
-        words, known, parts, bits = counted(text), self.words, self.parts, len(self.parts).bit_length() - 1
-        for w, times in words.items():
-            if (x := known.get(w)) is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                at = slots(w, bits)
-                x = known[w] = float(parts[at].sum()), len(at)
-            total += times * x[0]
-            n += times * x[1]
-        return float(1 / (1 + np.exp(-np.clip(self.bias + total / max(n, 1.0), -30, 30))))
-
     def __post_init__(self) -> None:
-        self.words: dict[str, tuple[float, int]] = {}
+        self.sums: dict[str, float] = {}
+        self.sizes: dict[str, int] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Makes the sums of these words' rows known."""
+        if len(self.sums) > REMEMBERED:
+            self.sums.clear()
+            self.sizes.clear()
+        if new := list(words.difference(self.sums)):
+            at, sizes = rows_of(new, len(self.parts).bit_length() - 1)
+            ends = np.cumsum(sizes)
+            sums = np.add.reduceat(self.parts[at].astype(np.float64), ends - sizes)
+            self.sums.update(zip(new, sums.tolist()))
+            self.sizes.update(zip(new, sizes.tolist()))
+
+    def scores(self, batch: list[str]) -> list[float]:
+        """The probability of class 1 of each text."""
+        out, k = [], 0
+        while k < len(batch):  # about a million characters at a time, so that the words don't pile up
+            chars, split = 0, []
+            while k < len(batch) and chars < 1_000_000:
+                chars += len(batch[k])
+                split.append(batch[k].split())
+                k += 1
+            self.learn({PAIR}.union(*split))
+            for words in split:
+                n = repeats(words)
+                total = sum(map(self.sums.__getitem__, words)) + n * self.sums[PAIR]
+                size = sum(map(self.sizes.__getitem__, words)) + n * self.sizes[PAIR]
+                z = self.bias + total / max(size, 1)
+                out.append(1 / (1 + math.exp(-min(max(z, -30), 30))))
+        return out
+
+    def score(self, text: str) -> float:
+        return self.scores([text])[0]
 
 
 def train(rows: list[tuple[str, int]], bits: int = BITS, size: int = SIZE, epochs: int = 5, rate: float = 3.0, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,8 +170,8 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = built(number, sent)
-        made = np.array([own.score(t) for t in texts(batch, "_text")], np.float64)
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made)], names=schema.names)
+        made = own.scores(texts(batch, "_text"))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.float64())], names=schema.names)
 
     return map_arrow(source, over, schema)
 
