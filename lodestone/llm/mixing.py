@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +30,14 @@ class Plan:
     """Target shares by level (``*``: all that aren't named), the fraction of tokens to keep, and topics.
 
     topics: name and regular expression (of Java and RE2 alike), the first that a text has is its topic.
+    needles: by name, strings of which every match of its expression has one; texts without are passed by quickly.
     """
 
     sources: dict[str, float]
     languages: dict[str, float]
     topics: dict[str, float]
     rules: tuple[tuple[str, str], ...]
+    needles: tuple[tuple[str, tuple[str, ...]], ...] = ()
     fraction: float = 0.6
     rounds: int = 40
     seed: str = "mix-1"
@@ -46,15 +49,19 @@ PLAN = Plan(
     languages={"en": 0.55, "de": 0.15, "es": 0.12, "fr": 0.15, REST: 0.03},
     topics={"legal": 0.02, "contact": 0.08, "web": 0.05, REST: 0.85},
     rules=(("legal", "[Ll]icen[cs]ed? |[Cc]opyright|[Ll]icense"), ("contact", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]+"), ("web", "https?://|www[.]")),
+    needles=(("legal", ("icen", "opyright")), ("contact", ("@",)), ("web", ("http", "www."))),
 )
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def topic(text: Column, plan: Plan) -> Column:
-    out = F.lit(REST)
+    out, needles = F.lit(REST), dict(plan.needles)
     for name, pattern in reversed(plan.rules):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+        hit = text.rlike(pattern)
+        if there := [F.contains(text, F.lit(x)) for x in needles.get(name, ())]:
+            hit = reduce(Column.__or__, there) & hit
+        out = F.when(hit, F.lit(name)).otherwise(out)
     return out
 
 
