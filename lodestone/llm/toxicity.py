@@ -61,7 +61,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + float(self.weights[features(text, int(len(self.weights)).bit_length() - 1)].sum()), -30, 30))))
 
 
-def train(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, least: int = 5) -> Model:
+def train(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, least: int = 5) -> Model:
     """FTRL-proximal, one text at a time in the rows' order; the bias has no penalty.
 
     Slots that fewer than ``least`` of the texts have are left out: a rare one only tells a text by heart.
