@@ -68,7 +68,8 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the BSD 3-Clause License.",
         "Released under the BSD license.",
         "Released under the 2-clause BSD license.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms is permitted under the BSD license",
+        "with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
