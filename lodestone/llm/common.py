@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -52,6 +54,14 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to its machine, as workers live on for other tasks."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """Applies ``fn`` to each Arrow batch of ``df``."""
     small_batches(df.sparkSession)
@@ -60,6 +70,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
+        release()
 
     return df.mapInArrow(over, schema)
 
@@ -116,5 +127,7 @@ def in_one_task(sample: DataFrame, fn: Callable[[list[tuple]], Iterator[pa.Recor
         for b in batches:
             rows += zip(*(c.to_pylist() for c in b.columns))
         yield from fn(rows)
+        del rows
+        release()
 
     return sample.repartition(1).sortWithinPartitions(*[c for c in ("doc_id", "text") if c in sample.columns]).mapInArrow(train, schema).collect()
