@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, mixing, quality_rules, simhash, toxicity
+from lodestone.llm import bpe, mixing, nearcopies, quality_rules, toxicity
 from lodestone.llm.common import scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,8 +31,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each component of linked fingerprints."""
-    return simhash.deduplicate(docs)
+    """The document of the smallest doc_id of each component of near copies: a similarity of 0.8 on five-word shingles."""
+    return nearcopies.deduplicate(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
