@@ -109,6 +109,14 @@ def test_neighbours(spark):
     assert all(a < b for a, b in g) and g == {(min(x), max(x)) for x in truth}
 
 
+def test_recall_of_the_registered_query(spark):
+    from lodestone import queries
+
+    d = "/root/testdata/sf0.01"
+    truth, near = ({(r.label, r.other) for r in queries.QUERIES[n](spark, d).collect()} for n in ("knn_exact_l2", "knn_approximate"))
+    assert len(near & truth) >= 0.9 * len(truth) > 0
+
+
 def test_metrics(spark):
     ends = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0])], "va array<double>, vb array<double>")
     centre = spark.createDataFrame([(0, [0.5, 0.25])], "topic int, vec array<double>")
