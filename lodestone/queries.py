@@ -679,7 +679,7 @@ def lda_topics(s, d):
 
 @query()
 def word2vec_embeddings(s, d):
-    return topics.embed_words(docs_of(s, d), size=16, least=20)
+    return topics.embed_words(docs_of(s, d), size=500, least=5)
 
 
 # --- scores ------------------------------------------------------------------------------------

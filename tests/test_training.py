@@ -49,3 +49,14 @@ def test_lda(spark):
     v = topics.view(model, words, 3)
     assert v.count() == 6
     assert topics.papers_of_mixtures(topics.infer(model, words, d.where("doc <> 'PMID99_1'")), 3).count() == 6
+
+
+def test_every_word_found_five_times_has_a_vector(spark):
+    from collections import Counter
+
+    from lodestone import queries
+
+    d = "/root/testdata/sf0.001"
+    n = Counter(t for r in queries.docs_of(spark, d).collect() for t in r.tokens)
+    made = {r.label: len(r.vec) for r in queries.word2vec_embeddings(spark, d).collect()}
+    assert made == {w: 500 for w, c in n.items() if c >= 5}
