@@ -2,9 +2,10 @@
 
 Exact: the table is cut into blocks of bounded size; each pair of blocks is one group, in which numpy
 multiplies matrices and keeps the k nearest of each query, and the partial results are merged by rank.
-So no group grows with the data, though the work is that of all pairs. Approximate: centres are fitted
-on a bounded sample, every vector is filed under its nearest centre, and a query visits ``probes`` cells,
-which are cut into blocks alike.
+So no group grows with the data, though the work is that of all pairs. Approximate: centres, about the
+square root of the vectors, are fitted on a bounded sample, every vector is filed under its nearest
+centre, and a query visits ``probes`` cells, which are cut into blocks alike. Unless they are given,
+probes are as many as find ``RECALL`` of the true neighbours within the sample.
 
 Distances are rounded to ``DIGITS`` before ranking, so that ties fall to the smaller label.
 """
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS, BLOCK = 6, 2048
+#: Share of neighbours within the sample that the probes must find, and sampled queries that measure it.
+RECALL, ASKED = 0.96, 500
 
 
 def _near(queries: pd.DataFrame, base: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
@@ -52,7 +55,8 @@ def exact(vectors: DataFrame, k: int, metric: str = "l2", block: int = BLOCK) ->
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be l2 or cosine")
     n = max(1, -(-vectors.count() // block))
-    cut = vectors.select("label", "vec", F.pmod(F.xxhash64("label"), F.lit(n)).alias("part"))
+    # Both sides' block numbers must be ints: cogrouped keys of different types hash to different partitions.
+    cut = vectors.select("label", "vec", F.pmod(F.xxhash64("label"), F.lit(n)).cast("int").alias("part"))
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     queries = cut.select("label", "vec", F.col("part").alias("i"), every.alias("j"))
     base = cut.select("label", "vec", every.alias("i"), F.col("part").alias("j"))
@@ -61,27 +65,49 @@ def exact(vectors: DataFrame, k: int, metric: str = "l2", block: int = BLOCK) ->
     return _ranked(near, k)
 
 
-def approximate(vectors: DataFrame, k: int, cells: int = 64, probes: int = 40, sample: int = 20_000, block: int = BLOCK, metric: str = "l2") -> DataFrame:
+def _own_cells(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Cells by rising distance of each vector."""
+    return ((centres * centres).sum(axis=1) - 2 * x @ centres.T).argsort(axis=1, kind="stable")
+
+
+def _probes(x: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
+    """How many cells sampled queries must visit to meet ``recall`` of their neighbours within the sample.
+
+    Neighbours in all data are nearer than those in a sample, and so in fewer cells.
+    """
+    asked = np.linspace(0, len(x) - 1, min(ASKED, len(x))).astype(int)
+    own = np.concatenate([_own_cells(x[at : at + BLOCK], centres)[:, 0] for at in range(0, len(x), BLOCK)])
+    d = (x * x).sum(axis=1) - 2 * x[asked] @ x.T
+    d[np.arange(len(asked)), asked] = np.inf
+    near = np.argpartition(d, min(k, len(x) - 1), axis=1)[:, :k]
+    place = _own_cells(x[asked], centres).argsort(axis=1, kind="stable")
+    found = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
+    return int(found[min(len(found) - 1, int(np.ceil(recall * len(found))))]) + 1
+
+
+def approximate(vectors: DataFrame, k: int, cells: int | None = None, probes: int | None = None, sample: int = 20_000, block: int = BLOCK, metric: str = "l2", recall: float = RECALL) -> DataFrame:
     """Like ``exact``, over the cells that a query visits only; every vector is indexed.
 
-    Vectors without clusters have near neighbours in many cells: 40 of 64 find 0.95 of them, 8 find 0.5.
+    cells: by default the square root of the vectors, 64 at least, and at most one for 8 sampled vectors.
     """
     rows = vectors.orderBy(F.xxhash64("label"), "label").limit(sample).select("vec").collect()
     if not rows:
         return exact(vectors, k, metric, block)
     x = np.array([r[0] for r in rows], np.float64)
+    if cells is None:
+        cells = min(max(64, int(vectors.count() ** 0.5)), max(1, len(x) // 8))
     centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
     for _ in range(10):
-        own = ((x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+        own = np.concatenate([_own_cells(x[at : at + BLOCK], centres)[:, 0] for at in range(0, len(x), BLOCK)])
         for c in range(len(centres)):
             if (own == c).any():
                 centres[c] = x[own == c].mean(axis=0)
-    probes = min(probes, len(centres))
+    probes = min(probes or _probes(x, centres, k, recall), len(centres))
 
     def file(batches):
         for pdf in batches:
             v = np.stack(pdf["vec"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, centres.shape[1]))
-            order = ((centres * centres).sum(axis=1) - 2 * v @ centres.T).argsort(axis=1)[:, :probes]
+            order = _own_cells(v, centres)[:, :probes].astype(np.int32)
             yield pdf.assign(cells=list(order))
 
     kind = vectors.schema["label"].dataType.simpleString()
@@ -89,13 +115,15 @@ def approximate(vectors: DataFrame, k: int, cells: int = 64, probes: int = 40, s
     from ..session import checkpoint
 
     filed = checkpoint(filed)
-    sizes = filed.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    hashed = F.xxhash64("label")
-    base = filed.select("label", "vec", F.col("cells")[0].alias("cell")).join(F.broadcast(sizes), "cell")
-    base = base.select(F.col("label").alias("label"), F.col("vec").alias("vec"), F.col("cell").alias("cell"), F.pmod(hashed, F.col("n")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    queries = filed.select("label", "vec", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell")
-    # A cell's queries number at most probes times the vectors; they are cut by the same count and meet each block.
-    queries = queries.select("label", "vec", "cell", F.pmod(hashed, F.col("n")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    visits = filed.select("label", "vec", F.explode("cells").alias("cell"))
+    own = filed.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    sizes = visits.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("m")).join(own, "cell")  # a row for each cell
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("label"), F.col(n)).cast("int")
+    # A cell is visited by any number of queries: both sides are cut into blocks, and each block meets each.
+    named = [F.col(c).alias(c) for c in ("label", "vec", "cell")]  # columns of their own, as both sides come from one table
+    base = filed.select("label", "vec", F.col("cells")[0].alias("cell")).join(F.broadcast(sizes), "cell").select(*named, spread("m").alias("i"), part("n").alias("j"))
+    queries = visits.join(F.broadcast(sizes), "cell").select("label", "vec", "cell", part("m").alias("i"), spread("n").alias("j"))
     near = queries.groupBy("cell", "i", "j").cogroup(base.groupBy("cell", "i", "j")).applyInPandas(lambda a, b: _near(a, b, k, metric), f"label {kind}, other {kind}, dist double")
     return _ranked(near.groupBy("label", "other").agg(F.min("dist").alias("dist")), k)
 

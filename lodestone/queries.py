@@ -375,11 +375,25 @@ def knn_graph_scaled(s, d):
     return knn.scaled_graph(knn_edges(s, d)).select("a", "b", r("w").alias("w"))
 
 
+@query(f"with {_knn_sql(5)} select label, other, dist, rank from nn")
+def knn_exact_blocks(s, d):
+    """Blocks of 64, so that even small tables are cut into several."""
+    return knn.exact(numbered(s, d), 5, block=64).select("label", "other", r("dist").alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def knn_approximate(s, d):
     return knn.approximate(numbered(s, d), 5)
 
 
+@query("select 5 * count(*) as due, true as nine_tenths from embeddings")
+def knn_recall(s, d):
+    """The true neighbours of all vectors, and whether the approximate search finds nine tenths of them."""
+    near = knn.approximate(numbered(s, d), 5).select("label", "other", F.lit(1).alias("hit"))
+    met = knn.exact(numbered(s, d), 5).select("label", "other").join(near, ["label", "other"], "left")
+    return met.agg(F.count("*").alias("due"), (F.count("hit") >= 0.9 * F.count("*")).alias("nine_tenths"))
+
+
 # --- networks ----------------------------------------------------------------------------------
 
 _REL = {"R": 0.1, "A": 0.5, "N": 1.0}

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lodestone.operators import centroids, graph, knn, metrics, network
@@ -103,12 +104,34 @@ def test_neighbours(spark):
     key = lambda df: {(r.label, r.other) for r in df.collect()}
     truth = key(whole)
     assert truth == key(parts) and len(truth) == 1500
-    near = key(knn.approximate(v, 5, cells=8, probes=5, block=100))
+    near = key(knn.approximate(v, 5, block=100))
     assert len(near & truth) >= 0.9 * len(truth)
+    assert key(knn.approximate(v, 5, cells=8, probes=8, block=40)) == truth
     g = {(r.a, r.b) for r in knn.graph(whole).collect()}
     assert all(a < b for a, b in g) and g == {(min(x), max(x)) for x in truth}
 
 
+@pytest.mark.parametrize("partitions", [1, 8, 200])
+def test_neighbours_of_any_blocks_and_partitions(spark, partitions):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(128, 6)).astype(np.float32)
+    v = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "label long, vec array<float>")
+    far = ((x[:, None].astype(float) - x[None]) ** 2).sum(axis=2) + np.diag([np.inf] * len(x))
+    truth = {(a, int(b)) for a, row in enumerate(far.argsort(axis=1)[:, :3]) for b in row}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for block in (128, 16, 2) if partitions == 8 else (128, 16):
+            found = knn.exact(v, 3, block=block)
+            assert {(r.label, r.other) for r in found.collect()} == truth
+        found = knn.approximate(v, 3, cells=6, probes=6, block=16)
+        assert {(r.label, r.other) for r in found.collect()} == truth
+    finally:
+        for k, value in old.items():
+            spark.conf.set(k, value)
+
+
 def test_recall_of_the_registered_query(spark):
     from lodestone import queries
 
