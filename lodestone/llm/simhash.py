@@ -46,6 +46,14 @@ def fingerprint(text: str, size: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of these hashes of shingles, as a signed number."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        counts += _bits(hashes[k : k + CHUNK])
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
+
+
 def _bits(hashes: list[int]) -> np.ndarray:
     return np.unpackbits(np.array(hashes, np.uint64).astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 

@@ -40,4 +40,14 @@ def test_all_pairs(spark):
         if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
             x, y = find(a), find(b)
             roots[max(x, y)] = min(x, y)
-    assert {r.doc_id: r.component_id for r in nearcopies.clusters(docs).collect()} == {k: find(k) for k in sets}
+    for crowded in (nearcopies.CROWDED, 1):  # pair by pair, and over the rarest shingles
+        assert {r.doc_id: r.component_id for r in nearcopies.clusters(docs, crowded=crowded).collect()} == {k: find(k) for k in sets}
+
+
+def test_a_passage_of_many_texts(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    own = lambda d: " ".join(f"w{d}x{k}" for k in range(40))
+    texts = [f"{passage} {own(d)}" for d in range(150)] + [f"{passage} {own(7)} end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {r.doc_id: r.component_id for r in nearcopies.clusters(docs).collect()}
+    assert made == {k: 7 if k == 150 else k for k in range(151)}
