@@ -54,9 +54,16 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+#: What modules remember between batches, and needn't keep after a task.
+REMEMBERED: list[dict] = []
+
+
 def release() -> None:
     """Gives memory that a Python worker no longer uses back to its machine, as workers live on for other tasks."""
+    for known in REMEMBERED:
+        known.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -84,7 +84,7 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "family", F.round("probability", 5).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed")
+    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("n_lines").cast("long").alias("n_lines"), "family", F.round("probability", 5).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import REMEMBERED as FORGOTTEN
 from .common import column, in_one_task, labelled_sample, map_arrow, texts
 
 BITS = 20
@@ -29,6 +30,7 @@ _EDGES = (string.punctuation + "¡¿«»„“”‚‘’–—…").replace("_
 #: Hashes of words that a worker remembers.
 REMEMBERED = 300_000
 _hashes: dict[str, int] = {}
+FORGOTTEN.append(_hashes)
 
 
 def features(text: str, bits: int = BITS) -> np.ndarray:

@@ -193,18 +193,57 @@ def test_same_as_sql(spark, name):
 
 
 def test_licences(spark):
-    lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "licensed under CC BY-SA 4.0": "CC-BY-SA", "Our code is licensed under the Mozilla Public License, version 2.0, as ever": "MPL-2.0"}
-    clean = ["She got her driving licence yesterday.", "All rights reserved. Copyright 2021 Someone", "Permission was given by the council.", "no such words here", ""]
-    rows = [(k, x) for k, x in enumerate(lines)] + [(100 + k, x) for k, x in enumerate(clean)] + [(7, "a\nReleased under the MIT License.\nb\nLicensed under CC BY-NC 4.0."), (None, "Released under the MIT License."), (8, None), (0, next(iter(lines)))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("family", F.lit("own")).withColumn("line", F.lit(1))
+    lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "licensed under CC BY-SA 4.0": "CC-BY-SA", "Our code is licensed under the Mozilla Public License, version 2.0, as ever": "MPL-2.0", "This program is distributed under the terms of the GPL version 3.": "GPL", "Distributed under the MIT terms.": "MIT", "Released under the GNU AGPL v3.": "AGPL", "BSD 3-Clause": "BSD", "Released under GPL v3.": "GPL", "Distributed under the terms of the GNU GPL": "GPL", "Apache-2.0": "Apache-2.0"}
+    clean = ["She got her driving licence yesterday.", "All rights reserved. Copyright 2021 Someone", "Permission was given by the council.", "no such words here", "", "Er kam mit dem Zug und ging mit ihr.", "He went to MIT to study."]
+    rows = [(k, x) for k, x in enumerate(lines)] + [(100 + k, x) for k, x in enumerate(clean)] + [(77, "a\nReleased under the MIT License.\nb\nLicensed under CC BY-NC 4.0."), (None, "Released under the MIT License."), (88, None), (0, next(iter(lines)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("family", F.lit("own")).withColumn("line_no", F.lit(1)).withColumn("_row", F.lit(1))
     found = licences.scan(docs).collect()
     by = Counter((r.doc_id, r.line_no, r.family) for r in found)
     assert all(by[(k, 0, f)] == (2 if k == 0 else 1) for k, f in enumerate(lines.values()))
-    assert by[(7, 1, "MIT")] == by[(7, 3, "CC-BY-NC")] == by[(None, 0, "MIT")] == 1
-    assert len(found) == len(lines) + 4 and all(r.confirmed for r in found if r.doc_id in (0, 1, 2, 3))
+    assert by[(77, 1, "MIT")] == by[(77, 3, "CC-BY-NC")] == by[(None, 0, "MIT")] == 1
+    assert len(found) == len(lines) + 4 and all(r.confirmed for r in found if r.doc_id in (0, 1, 2, 3, 9))
     assert licences.scan(docs.where("false")).isEmpty()
 
 
+def test_licence_templates_and_paragraphs(spark):
+    """Every sentence of a licence is found as a line; wrapped lines, of comments too, are one paragraph; long texts are read whole."""
+    wrap = lambda t, n=8, by="\n": by.join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    lines = [(c, x) for c, xs in licences.SENTENCES.items() for x in xs]
+    mit, bsd = licences.SENTENCES["MIT"][0], licences.SENTENCES["BSD"][0]
+    long = "river stone " * 200_000 + "\n\n"
+    more = [("MIT", f"Some file\n\n{wrap(mit)}\n\nother words"), ("BSD", "# head\n#\n# " + wrap(bsd, 5, "\n# ") + "\n#\nx = 1"), ("MIT", long + wrap(mit)), ("GPL", long + "Released under GPL v3.")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(lines + more)], "doc_id long, text string")
+    found = licences.scan(docs).collect()
+    got = {(r.doc_id, r.line_no, r.n_lines): (r.family, r.confirmed) for r in found}
+    n = len(lines)
+    assert all(got[(k, 0, 1)] == (c, True) for k, (c, _) in enumerate(lines))
+    assert got[(n, 2, 6)] == got[(n + 2, 2, 6)] == ("MIT", True) and got[(n + 1, 2, 5)] == ("BSD", True) and got[(n + 3, 2, 1)] == ("GPL", True)
+    assert len(got) == len(found) == n + 4
+
+
+def test_licence_bounds_change_nothing():
+    """The sum of what is filed under a text's words is at least what any family gains over unknown there."""
+    m, rng = licences.model(), random.Random(4)
+    some = [x for xs in licences.TEMPLATES.values() for x in xs] + licences.OTHERS
+    for _ in range(400):
+        text = " ".join(rng.choices(" ".join(rng.sample(some, 3)).split(), k=12))
+        held = licences.grams(text)
+        gain = [sum(m["weights"][g][k] - m["weights"][g][-1] for g in held if g in m["weights"]) for k in range(len(m["classes"]) - 1)]
+        bound = [sum(m["anchors"][w][k] for w in {w for g in held for w in g.split()} if w in m["anchors"]) for k in range(len(m["classes"]) - 1)]
+        assert all(g <= b + 1e-6 for g, b in zip(gain, bound))
+
+
+def test_licence_probabilities_of_unseen_wordings():
+    """Calibrated: over wordings that training never sees, the mean probability is near the share that is right."""
+    m, right, sure = licences.model(), [], []
+    for text, k in licences._training()[1]:
+        z = np.array(m["bias"]) + sum((np.array(m["weights"][g]) for g in licences.grams(text) if g in m["weights"]), np.zeros(len(m["bias"])))
+        p = np.exp(z - z.max())
+        right.append(int(z.argmax()) == k)
+        sure.append(float((p / p.sum()).max()))
+    assert np.mean(right) > 0.8 and abs(np.mean(right) - np.mean(sure)) < 0.1
+
+
 def test_licence_lines_of_the_documents(spark):
     found = Counter(r.family for r in queries.op9_licences(spark, "/root/testdata/sf0.01").collect())
     text = "\n".join(r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect())
