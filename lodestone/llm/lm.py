@@ -1,44 +1,51 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Tokens are the words of a text, A-Z in lower case, and one end. Counts are exact and over all
-training documents. Unigrams are smoothed by adding one, with a class for unknown tokens. Longer
-n-grams, up to ``order``, are kept if they make up at least one in ``share`` of all tokens: so there are
-at most ``share`` of each order, however large the corpus is. An n-gram that
-is found only once isn't kept. Kept ones are discounted by ``DISCOUNT``, and
-what they and the n-grams left out free goes to the shorter history, so each history's
-probabilities sum to one. Histories become states, kept n-grams arcs, and the free mass the weight of
-a failure arc; a text is one walk from left to right that carries the state and adds logarithms.
-
-Tokens of a smaller share than one in ``head`` aren't in the broadcast automaton: the walk falls to
-the root there, and their exact counts come from a join with the table of all counts.
-
-Null texts count as empty: one end. Each row is scored by itself, whether keys are null or repeat. No
-training document at all: N and V are zero and all tokens unknown. Other columns are not looked at.
+Tokens are the words of a text, A-Z in lower case, and one end; a text is begun by a start. All counts are
+exact and over all training documents. Single tokens are smoothed by adding one, with a class for unknown
+tokens. Every pair of tokens that is found ``LEAST`` times or more is kept, whatever the corpus' size: it is
+discounted by ``DISCOUNT``, and what the kept pairs of a history and those left out free goes to the single
+tokens, so each history's probabilities sum to one:
+
+    P(w | v) = (c(v, w) - DISCOUNT) / c(v) + free(v) P(w),    P(w | v) = free(v) P(w) where (v, w) isn't kept
+
+Histories are the states, kept pairs the arcs, and log free(v) the weight of the failure arc to the root; a text
+is one walk from left to right that carries the state and adds logarithms. The model is a table in the shared
+folder that grows with the corpus. The automaton that is broadcast has its head only: tokens of a share of one in
+``HEAD``, pairs of one in ``SHARE``. Where the walk fails there, or leaves the head, it notes the token or pair, and a
+join with the whole table adds what it weighs: log P(w) + log free(w) for a token, and for a pair what its arc
+is above the failure. So the sum is that of the whole automaton, and which part is broadcast changes no score.
+Of pairs only those are looked up that a bitmap of bounded size (``BITS``) doesn't rule out.
+
+Tokens and pairs are known by 64-bit hashes. Null texts count as empty: one end. Each row is scored by itself,
+whether keys are null or repeat; very long texts are one row. No training document at all: N and V are zero and
+all tokens unknown. Ties don't matter, as nothing is ranked. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, scratch, small_batches, stored
+from .common import column, release, small_batches, stored
 
-#: A token that no word can be.
-END = b" "
-HEAD, SHARE, ORDER, DISCOUNT = 1_000_000, 500_000, 3, 0.75
-#: Ids of words take so many bits; the id before a text's first word is START.
+#: A token that no word can be, and the hash that stands before a text's first token.
+END, START = b" ", xxhash.xxh64_intdigest(b"\n", 8)
+HEAD, SHARE, DISCOUNT, LEAST = 250_000, 250_000, 0.75, 2
+#: Bits of the map of pairs in the table.
+BITS = 27
+#: Words that a worker remembers, and tokens that are counted together.
+WORDS, HELD = 400_000, 3_000_000
+#: States and words of arcs take so many bits.
 WORD = 20
-START = (1 << WORD) - 1
-#: Counts that a task holds before it passes them on.
-HELD, HELD_NGRAMS = 300_000, 4_000_000
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -47,256 +54,229 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
-
-    def out() -> pa.RecordBatch:
-        names = sorted(held)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([held[w] for w in names], pa.int64())], names=["token", "c"])
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def key_of(token: bytes) -> int:
+    """The signed hash of a token."""
+    return _signed(xxhash.xxh64_intdigest(token, 8))
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64(first, second)`` of two arrays of longs."""
+    rotl = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h: np.ndarray | np.uint64 = np.uint64(42)
+    with np.errstate(over="ignore"):
+        for part in (first, second):
+            h = h + _P5 + np.uint64(8)
+            h = h ^ (rotl(part.view(np.uint64) * _P2, 31) * _P1)
+            h = rotl(h, 27) * _P1 + _P4
+            h = (h ^ (h >> np.uint64(33))) * _P2
+            h = (h ^ (h >> np.uint64(29))) * _P3
+            h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, p, s, c): n 0 the start, 1 tokens (p 0), 2 pairs of p and s; summed over some million tokens."""
+    known: dict[bytes, int] = {}
+    hashes = [_signed(START)]
+    held: list[int] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        ids, key = np.array(held, np.int64), np.array(hashes, np.int64)
+        times = np.bincount(ids, minlength=len(key))
+        pairs = ids[:-1] * len(key) + ids[1:]
+        pairs, c = np.unique(pairs[ids[1:] > 0], return_counts=True)
+        n = np.concatenate([np.array([0], np.int8), np.ones(len(key) - 1, np.int8), np.full(len(pairs), 2, np.int8)])
+        p = np.concatenate([np.zeros(len(key), np.int64), key[pairs // len(key)]])
+        s = np.concatenate([key, key[pairs % len(key)]])
+        c = np.concatenate([times, c])
+        for k in range(0, len(n), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 18)]) for x in (n, p, s, c)], names=["n", "p", "s", "c"])
 
     for batch in batches:
         for t in column(batch, "text").to_pylist():
-            held.update(tokens(t))
-        if len(held) > HELD:
-            yield out()
-            held.clear()
+            held.append(0)
+            for w in tokens(t):
+                if (k := known.get(w)) is None:
+                    k = known[w] = len(hashes)
+                    hashes.append(key_of(w))
+                held.append(k)
+            if len(held) > HELD:
+                yield from out()
+                known, hashes, held = {}, hashes[:1], []
     if held:
-        yield out()
-
-
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    distinct, at = np.unique(k, return_inverse=True)
-    return distinct, np.bincount(at, c, len(distinct)).astype(np.int64)
-
-
-def _ngrams(ids: np.ndarray, n: int, shorter: np.ndarray | None) -> np.ndarray:
-    """Keys of the n-grams of texts that follow each other, each begun by START; -1: not a head word.
-
-    An n-gram counts if all its words are in the head and, where ``shorter`` is given, if the n-grams of one
-    word less that it begins and ends with are among these; nothing frequent is lost by that.
-    """
-    parts = [ids[k : len(ids) - n + 1 + k] for k in range(n)]
-    good = np.ones(len(parts[0]), bool)
-    for k, p in enumerate(parts):
-        good &= p >= 0
-        if k:
-            good &= p != START
-    parts = [p[good] for p in parts]
-    if shorter is not None:
-        hit = _among(_key(parts[:-1]), shorter) & _among(_key(parts[1:]), shorter)
-        parts = [p[hit] for p in parts]
-    return _key(parts)
-
-
-def _among(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Which keys are among the sorted ones ``of``."""
-    if not len(of):
-        return np.zeros(len(keys), bool)
-    return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys
-
-
-def _key(parts: list[np.ndarray]) -> np.ndarray:
-    key = parts[0].astype(np.int64)
-    for p in parts[1:]:
-        key = (key << WORD) | p
-    return key
+        yield from out()
+    del known, hashes, held
+    release()
 
 
 @dataclass
-class Counts:
-    """What is known of a corpus: all token counts as a table; head words, and kept n-grams by order, here."""
+class Model:
+    """table: (n, key, p, s, c, prob, low, more): log P of a token, and what its walk adds to that. Totals, and the bitmap of pairs."""
 
     table: DataFrame
     total: int
     distinct: int
-    head: int
-    words: list[bytes]
-    word_counts: np.ndarray
-    ngrams: dict[int, tuple[np.ndarray, np.ndarray]]
     texts: int
+    bitmap: np.ndarray
+    head: int
+    share: int
 
 
-def fit(docs: DataFrame, train: Column | None = None, text: str = "text", head: int = HEAD, share: int = SHARE, order: int = ORDER, least: int = 2) -> Counts:
-    """Counts of the documents for which ``train`` is true (all by default)."""
-    if head >= START or share > head:
-        raise ValueError("share must be head at most, and head under 2 ** 20 - 1")
-    spark = docs.sparkSession
-    small_batches(spark)
+def fit(docs: DataFrame, train: Column | None = None, text: str = "text", head: int = HEAD, share: int = SHARE, least: int = LEAST, discount: float = DISCOUNT, bits: int = BITS) -> Model:
+    """The model of the documents for which ``train`` is true (all by default)."""
+    if not 0 < share <= head < (1 << WORD) - 2:
+        raise ValueError("share must be head at most, and head under 2 ** 20 - 2")
+    small_batches(docs.sparkSession)
     source = (docs if train is None else docs.where(train)).select(F.col(text).alias("text"))
-    table = stored(source.mapInArrow(_unigrams, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "lm-counts")
-    total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # At most ``head`` tokens can each be one in ``head``, so this is bounded.
-    found = sorted(((int(c), bytes(t)) for t, c in table.where(F.col("c") * head >= total).collect()), key=lambda x: (-x[0], x[1]))
-    words, counts = [t for _, t in found], np.array([c for c, _ in found], np.int64)
-    texts = next((c for c, t in found if t == END), 0) or (table.where(F.col("token") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] if total else 0)
-    frequent = {w: k for k, (w, c) in enumerate(zip(words, counts.tolist())) if c * share >= total}
-    ngrams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for n in range(2, order + 1):
-        known = spark.sparkContext.broadcast((frequent, ngrams[n - 1][0] if n > 2 else None))
-
-        def count(batches: Iterator[pa.RecordBatch], n: int = n, known=known) -> Iterator[pa.RecordBatch]:
-            ids, shorter = known.value
-            keys, counts, held = [], [], 0
-
-            def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in _merge(keys, counts)], names=["ngram", "c"])
-
-            for batch in batches:
-                flat: list[int] = []
-                for t in column(batch, "text").to_pylist():
-                    flat.append(START)
-                    flat += [ids.get(w, -1) for w in tokens(t)]
-                if len(flat) >= n:
-                    k, c = np.unique(_ngrams(np.array(flat, np.int64), n, shorter), return_counts=True)
-                    keys.append(k)
-                    counts.append(c)
-                    held += len(k)
-                if held > HELD_NGRAMS:
-                    k, c = _merge(keys, counts)
-                    keys, counts, held = [k], [c], len(k)
-                    if held > HELD_NGRAMS // 2:
-                        yield out()
-                        keys, counts, held = [], [], 0
-            if held:
-                yield out()
-
-        kept = source.mapInArrow(count, "ngram long, c long").groupBy("ngram").agg(F.sum("c").alias("c")).where((F.col("c") >= least) & (F.col("c") * share >= total)).collect()
-        kept.sort()
-        ngrams[n] = np.array([k for k, _ in kept], np.int64), np.array([c for _, c in kept], np.int64)
-        if not kept:
-            break
-    return Counts(table, int(total), int(distinct), head, words, counts, ngrams, int(texts))
+    grams = stored(source.mapInArrow(_count, "n byte, p long, s long, c long").groupBy("n", "p", "s").agg(F.sum("c").alias("c")).where((F.col("n") < 2) | (F.col("c") >= least)), "lm-grams")
+    single = F.col("n") == 1
+    total, distinct, texts = grams.where("n < 2").agg(F.coalesce(F.sum(F.when(single, F.col("c"))), F.lit(0)), F.count(F.when(single, 1)), F.coalesce(F.sum(F.when(~single, F.col("c"))), F.lit(0))).first()
+    ones = grams.where("n < 2").select("n", F.col("s").alias("key"), "c", F.when(single, (F.col("c") + 1.0) / F.lit(float(total + distinct + 1))).alias("prob"))
+    twos = grams.where("n = 2").select("p", "s", "c")
+    kept = twos.groupBy("p").agg(F.sum(F.col("c") - F.lit(discount)).alias("kept"))
+    states = ones.join(kept, F.col("p") == F.col("key"), "left").select("n", "key", "c", "prob", F.when(F.col("kept").isNotNull(), F.greatest(1 - F.col("kept") / F.col("c"), F.lit(1e-9))).alias("free"))
+    states = stored(states, "lm-states")
+    by_first = states.where("free is not null").select(F.col("key").alias("p"), F.col("c").alias("seen"), "free")
+    by_last = states.where("n = 1").select(F.col("key").alias("s"), F.col("prob").alias("low"))
+    arcs = twos.join(by_first, "p").join(by_last, "s").withColumn("prob", (F.col("c") - F.lit(discount)) / F.col("seen") + F.col("free") * F.col("low"))
+    arcs = arcs.select(F.lit(2).cast("byte").alias("n"), F.xxhash64("p", "s").alias("key"), "p", "s", "c", "prob", F.lit(None).cast("double").alias("low"), (F.log10("prob") - F.log10("free") - F.log10("low")).alias("more"))
+    nodes = states.select("n", "key", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("s"), "c", "prob", F.log10("prob").alias("low"), F.coalesce(F.log10("free"), F.lit(0.0)).alias("more"))
+    table = stored(nodes.unionByName(arcs), "lm-model")
+    tail = table.where((F.col("n") == 2) & (F.col("c") * share < total)).select((F.pmod("key", F.lit(1 << bits)) + 1).alias("k"))
+    # Numbers count from one, buckets have 32,768 bits; what comes to the driver is 2 ** bits bits at most.
+    parts = tail.groupBy(F.bitmap_bucket_number("k").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits")).collect()
+    bitmap = np.zeros(max(1, (1 << bits) >> 3) + (1 << 12), np.uint8)
+    for at, raw in parts:
+        made = np.frombuffer(bytes(raw), np.uint8)
+        bitmap[(at - 1) << 12 : ((at - 1) << 12) + len(made)] |= made
+    return Model(table, int(total), int(distinct), int(texts), bitmap, head, share)
 
 
 class Automaton:
-    """States 0 (no history), 1 (before the first token) and the kept histories; arcs by state and word."""
-
-    def __init__(self, words: list[bytes], word_counts: np.ndarray, ngrams: dict[int, tuple[np.ndarray, np.ndarray]], total: int, distinct: int, texts: int, discount: float = DISCOUNT):
-        self.words = {w: k for k, w in enumerate(words)}
-        self.floor = math.log10(total + distinct + 1)
-        base = [(c + 1) / (total + distinct + 1) for c in word_counts.tolist()]
-        self.base = [math.log10(p) for p in base]
-        grams: dict[tuple[int, ...], int] = {}
-        for n, (keys, counts) in ngrams.items():
-            for key, c in zip(keys.tolist(), counts.tolist()):
-                grams[tuple(key >> WORD * (n - 1 - k) & START for k in range(n))] = c
-        after: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for g, c in grams.items():
-            after.setdefault(g[:-1], []).append((g[-1], c))
-        state = {(): 0, (START,): 1}
-        for h in sorted(after, key=lambda h: (len(h), h)):
-            state.setdefault(h, len(state))
-
-        def longest(h: tuple[int, ...]) -> int:
-            while h not in state:
-                h = h[1:]
-            return state[h]
-
-        self.fall, self.weight = [0] * len(state), [0.0] * len(state)
-        #: By state << WORD | word: the logarithm, and the next state.
-        self.arcs: dict[int, tuple[float, int]] = {k: (p, longest((k,))) for k, p in enumerate(self.base)}
-        chance: dict[tuple[int, ...], float] = {}
-
-        def probability(h: tuple[int, ...], w: int) -> float:
-            scale = 1.0
-            while h:
-                if (p := chance.get((*h, w))) is not None:
-                    return scale * p
-                scale *= free.get(h, 1.0)
-                h = h[1:]
-            return scale * base[w]
-
-        free: dict[tuple[int, ...], float] = {}
-        for h in sorted(after, key=len):
-            seen = texts if h == (START,) else int(word_counts[h[0]]) if len(h) == 1 else grams[h]
-            free[h] = max(1 - sum(c - discount for _, c in after[h]) / seen, 1e-9)
-            for w, c in after[h]:
-                chance[(*h, w)] = (c - discount) / seen + free[h] * probability(h[1:], w)
-        for h, s in state.items():
-            self.fall[s], self.weight[s] = (longest(h[1:]), math.log10(free.get(h, 1.0))) if h else (0, 0.0)
-            for w, _ in after.get(h, ()):
-                self.arcs[s << WORD | w] = math.log10(chance[(*h, w)]), longest((*h, w)[-2:])
-        #: What falling from a state to the root weighs.
-        self.escape = [0.0] * len(state)
-        for h, s in sorted(state.items(), key=lambda x: len(x[0])):
-            self.escape[s] = self.weight[s] + self.escape[self.fall[s]] if s else 0.0
-
-    def walk(self, text: str | None) -> tuple[int, int, float, float, Counter[bytes]]:
-        """Tokens; those in the head; their base score; the walk's logarithm; the other tokens, without their own probability."""
-        words, base, arcs, fall, weight, escape = self.words, self.base, self.arcs, self.fall, self.weight, self.escape
-        found, rest = tokens(text), []
-        s, low, total = 1, 0.0, 0.0
-        for w in found:
-            k = words.get(w)
-            if k is None:
-                rest.append(w)
-                total += escape[s]
-                s = 0
+    """The head: state 0 the root, 1 the start, k + 2 after word k; arcs by state and word; log free as failure weights."""
+
+    def __init__(self, words: np.ndarray, low: np.ndarray, more: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], start: float):
+        self.ids = {k: i for i, k in enumerate(words.tolist())}
+        self.low, self.weight = low.tolist(), [0.0, start, *more.tolist()]
+        state = {_signed(START): 1} | {k: i + 2 for k, i in self.ids.items()}
+        self.arcs = {state[p] << WORD | self.ids[s]: x for p, s, x in zip(*(c.tolist() for c in pairs))}
+        self.codes: dict[bytes, int] = {}
+        self.keys: dict[bytes, int] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.keys) > WORDS:
+            self.keys.clear()
+            self.codes.clear()
+        for w in words.difference(self.keys):
+            k = self.keys[w] = key_of(w)
+            self.codes[w] = self.ids.get(k, -1)
+
+    def walk(self, found: list[bytes]) -> tuple[int, float, float, list[int]]:
+        """Head tokens; their base score; the walk's logarithm; places of tokens that it failed at."""
+        low, arcs, weight = self.low, self.arcs, self.weight
+        state, base, total, known, failed = 1, 0.0, 0.0, 0, []
+        for at, k in enumerate(map(self.codes.__getitem__, found)):
+            if k < 0:
+                total += weight[state]
+                failed.append(at)
+                state = 0
                 continue
-            low += base[k]
-            while (arc := arcs.get(s << WORD | k)) is None:
-                total += weight[s]
-                s = fall[s]
-            total += arc[0]
-            s = arc[1]
-        return len(found), len(found) - len(rest), low, total, Counter(rest)
+            known += 1
+            p = low[k]
+            base += p
+            if (arc := arcs.get(state << WORD | k)) is None:
+                total += weight[state] + p
+                failed.append(at)
+            else:
+                total += arc
+            state = k + 2
+        # The failure arc of the end is never taken, nor has it any weight.
+        return known, base, total, failed
 
 
 _built: dict[int, Automaton] = {}
 
 
-def built(number: int, model) -> Automaton:
+def built(number: int, sent) -> Automaton:
     """The automaton of a broadcast, built once in each worker."""
     if number not in _built:
         _built.clear()
-        _built[number] = Automaton(*model.value)
+        _built[number] = Automaton(*sent.value[:-1])
     return _built[number]
 
 
-def score(docs: DataFrame, counts: Counts, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _arrays(df: DataFrame, *names: str) -> tuple[np.ndarray, ...]:
+    """Columns of a table of bounded size."""
+    found = df.select(*names).toArrow()
+    return tuple(found.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in names)
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score): one row for each of ``docs``.
 
-    The walk's row of a text and those of its other tokens go through one join with the counts of
-    rare tokens and one sum by row. Rows are numbered within their partition, so the input must come
-    in the same order if a task is run again, as files do.
+    The walk's results, with what is to be looked up, are a table; its rows have their numbers from there, so a
+    task that runs again can't mix them up.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast((counts.words, counts.word_counts, counts.ngrams, counts.total, counts.distinct, counts.texts))
-    number, floor, total, head = model._jbroadcast.id(), math.log10(counts.total + counts.distinct + 1), counts.total, counts.head
+    table, total = model.table, model.total
+    floor = -math.log10(total + model.distinct + 1)
+    # At most ``head`` tokens can each be one in ``head``, and ``share`` pairs one in ``share``.
+    words = _arrays(table.where((F.col("n") == 1) & (F.col("c") * model.head >= total)), "key", "low", "more")
+    pairs = table.where((F.col("n") == 2) & (F.col("c") * model.share >= total)).withColumn("log", F.log10("prob"))
+    begun = table.where("n = 0").select("more").first()
+    sent = spark.sparkContext.broadcast((*words, _arrays(pairs, "p", "s", "log"), begun[0] if begun else 0.0, model.bitmap))
+    number, mask = sent._jbroadcast.id(), (1 << (len(model.bitmap) - (1 << 12)).bit_length() + 2) - 1
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, row = built(number, model), TaskContext.get().partitionId() << 40
+        automaton, bitmap, row = built(number, sent), sent.value[-1], TaskContext.get().partitionId() << 40
+
+        def single(text: str | None) -> tuple:
+            found = tokens(text)
+            automaton.learn(set(found))
+            known, base, logp, failed = automaton.walk(found)
+            at = np.array(failed, np.int64)
+            key = np.fromiter(map(automaton.keys.__getitem__, found), np.int64, len(found))
+            before = np.concatenate([np.array([_signed(START)], np.int64), key[:-1]])
+            both = pair_keys(before[at], key[at])
+            place = both & mask
+            both = both[(bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
+            rare = np.fromiter((automaton.keys[found[k]] for k in failed if automaton.codes[found[k]] < 0), np.int64)
+            return len(found), known, base, logp, rare, both
+
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for k, t in zip(column(batch, "key").to_pylist(), column(batch, "text").to_pylist()):
-                n, known, low, logp, rest = automaton.walk(t)
-                # No word holds a blank, so this row meets no token.
-                for c, x in zip(cols, (row, b" %d" % (row % 9973), 0, k, n, known, low, logp)):
-                    c.append(x)
-                m = len(rest)
-                cols[0] += [row] * m
-                cols[1] += rest.keys()
-                cols[2] += rest.values()
-                for c in cols[3:]:
-                    c += [None] * m
-                row += 1
-            kinds = [pa.int64(), pa.binary(), pa.int32(), keys, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["row", "token", "tf", "key", "n", "known", "low", "logp"])
-
-    keys = pa.int64() if docs.schema[key].dataType.simpleString() == "bigint" else pa.string()
-    kind = "long" if keys == pa.int64() else "string"
-    source = docs.select(F.col(key).cast(kind).alias("key"), F.col(text).alias("text"))
-    walked = source.mapInArrow(walk, f"row long, token binary, tf int, key {kind}, n long, known long, low double, logp double")
-    rare = counts.table.where(F.col("c") * head < total) if total else counts.table
-    met = walked.join(rare, "token", "left")
-    own = F.col("tf") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - F.lit(floor))
-    by_row = met.groupBy("row").agg(
-        F.max("key").alias(key),
-        F.sum("n").alias("n_tokens"),
-        (F.sum(F.coalesce("known", F.lit(0))) + F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0))).alias("n_known"),
-        (F.sum("low") + F.sum(own)).alias("base_score"),
-        (F.sum("logp") + F.sum(own)).alias("score"),
+            made = [single(t) for t in column(batch, "text").to_pylist()]
+            lists = []
+            for k in (4, 5):
+                sizes = np.fromiter((len(x[k]) for x in made), np.int64, len(made))
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in made]), pa.int64())))
+            plain = [pa.array([x[k] for x in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(made))), column(batch, "key"), *plain, *lists], names=["row", "key", "n", "known", "low", "logp", "rare", "pairs"])
+            row += len(made)
+        release()
+
+    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = source.schema["key"].dataType.simpleString()
+    walked = stored(source.mapInArrow(walk, f"row long, key {kind}, n long, known long, low double, logp double, rare array<long>, pairs array<long>"), "lm-walked")
+    sought = walked.select("row", F.lit(1).cast("byte").alias("n"), F.explode("rare").alias("key")).unionByName(walked.select("row", F.lit(2).cast("byte").alias("n"), F.explode("pairs").alias("key")))
+    met = sought.join(table.where("n > 0").select("n", "key", "low", "more"), ["n", "key"], "left")
+    one = F.col("n") == 1
+    rest = met.groupBy("row").agg(
+        F.count(F.when(one & F.col("low").isNotNull(), 1)).alias("_known"),
+        F.coalesce(F.sum(F.when(one, F.coalesce("low", F.lit(floor)))), F.lit(0.0)).alias("_low"),
+        F.coalesce(F.sum("more"), F.lit(0.0)).alias("_more"),
+    )
+    none = F.lit(0.0)
+    return walked.drop("rare", "pairs").join(rest, "row", "left").select(
+        F.col("key").alias(key),
+        F.col("n").alias("n_tokens"),
+        (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("low") + F.coalesce("_low", none)).alias("base_score"),
+        (F.col("logp") + F.coalesce("_low", none) + F.coalesce("_more", none)).alias("score"),
     )
-    return by_row.select(key, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

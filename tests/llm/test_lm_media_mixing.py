@@ -20,82 +20,79 @@ TEXTS = [(1, "the cat sat on the mat"), (2, "the cat sat on the mat the cat ran"
 
 
 def brute(rows, train):
-    c = Counter(t for k, x in rows if train(k) for t in lm.tokens(x))
+    """Each row's numbers by plain dictionaries: the base score, and that of all pairs found twice, discounted, over single tokens."""
+    texts = [lm.tokens(x) for k, x in rows if train(k)]
+    c, g, after = Counter(t for x in texts for t in x), Counter(), {}
+    for x in texts:
+        g.update(zip([None, *x], x))
     n, v = sum(c.values()), len(c)
-    return [(k, len(lm.tokens(x)), sum(c[t] > 0 for t in lm.tokens(x)), n, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in lm.tokens(x))) for k, x in rows]
+    g = {k: m for k, m in g.items() if m >= 2}
+    for (p, w), m in g.items():
+        after.setdefault(p, {})[w] = m
+    seen = lambda p: len(texts) if p is None else c[p]
+    one = lambda w: (c[w] + 1) / (n + v + 1)
 
+    def two(p, w):
+        if p not in after:
+            return one(w)
+        free = 1 - sum(m - 0.75 for m in after[p].values()) / seen(p)
+        return max(after[p].get(w, 0.75) - 0.75, 0) / seen(p) + free * one(w)
 
-@pytest.mark.parametrize("head,share", [(1000, 1000), (5, 5), (20, 8)])
-def test_base_scores(spark, head, share):
-    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("score", F.lit("own")).withColumn("c", F.lit(1)).repartition(2)
-    counts = lm.fit(docs, F.coalesce(F.col("doc_id") != 4, F.lit(False)), head=head, share=share)
-    found = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in lm.score(docs, counts).collect()]
-    want = [(*x[:4], round(x[4], 9)) for x in brute(TEXTS, lambda k: k not in (4, None))]
+    made = [(k, lm.tokens(x)) for k, x in rows]
+    return [(k, len(x), sum(c[t] > 0 for t in x), n, sum(math.log10(one(t)) for t in x), sum(math.log10(two(p, t)) for p, t in zip([None, *x], x))) for k, x in made], c, after, two
+
+
+@pytest.mark.parametrize("head,share,bits", [(1000, 1000, 16), (5, 5, 16), (20, 8, 3), (1, 1, 27)])
+def test_scores_by_hand(spark, head, share, bits):
+    """Whatever part of the table is broadcast, and however full its bitmap is."""
+    rng = random.Random(9)
+    texts = TEXTS + [(k, " ".join(rng.choice("abcdefgh") * rng.choice((1, 1, 2)) for _ in range(rng.randrange(0, 25)))) for k in range(10, 60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit("own")).withColumn("c", F.lit(1)).withColumn("row", F.lit(1)).repartition(3)
+    counts = lm.fit(docs, F.coalesce(F.col("doc_id") % 4 != 0, F.lit(False)), head=head, share=share, bits=bits)
+    found = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 7), round(r.score, 7)) for r in lm.score(docs, counts).collect()]
+    want = [(*x[:4], round(x[4], 7), round(x[5], 7)) for x in brute(texts, lambda k: k is not None and k % 4 != 0)[0]]
     assert sorted(found, key=repr) == sorted(want, key=repr)
 
 
+def test_model_grows_with_the_corpus(spark):
+    """No cap: every pair found twice is in the table, whatever the head's bounds are."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(60))) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, c, after, two = brute(rows, lambda k: True)
+    model = lm.fit(docs, head=7, share=3)
+    assert model.table.where("n = 2").count() == sum(map(len, after.values())) > 500 and model.table.where("n = 1").count() == len(c)
+    for p in (None, "w1".encode(), "w59".encode()):  # a state's probabilities, with the class of unknown tokens, sum to one
+        assert sum(two(p, w) for w in [*c, b"never seen"]) == pytest.approx(1)
+
+
+def test_pair_keys_are_those_of_spark(spark):
+    x = np.array([0, 1, -1, 1 << 62, -(1 << 63), 12345678901], np.int64)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, x[::-1])], "a long, b long")
+    assert lm.pair_keys(x, x[::-1].copy()).tolist() == [r[0] for r in df.select(F.xxhash64("a", "b")).collect()]
+
+
 def test_no_training_and_no_rows(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
     counts = lm.fit(docs, F.lit(False))
-    assert {(r.n_known, r.train_tokens) for r in lm.score(docs, counts).collect()} == {(0, 0)}
+    made = lm.score(docs, counts).collect()
+    assert len(made) == len(TEXTS) and {(r.n_known, r.train_tokens, r.base_score, r.score) for r in made} == {(0, 0, 0.0, 0.0)}
     assert lm.score(docs.where("false"), lm.fit(docs.where("false"))).isEmpty()
 
 
-def automaton(texts, order=3, head=1000, share=1000, least=2):
-    """The automaton of a list of texts, from counts made by hand."""
-    c = Counter(t for x in texts for t in lm.tokens(x))
-    total = sum(c.values())
-    words = sorted((w for w in c if c[w] * head >= total), key=lambda w: (-c[w], w))
-    at = {w: k for k, w in enumerate(words)}
-    ngrams = {}
-    for n in range(2, order + 1):
-        g = Counter()
-        for x in texts:
-            ids = [lm.START, *(at.get(t, -1) for t in lm.tokens(x))]
-            g.update(tuple(ids[i : i + n]) for i in range(len(ids) - n + 1) if -1 not in ids[i : i + n])
-        kept = sorted((k, v) for k, v in g.items() if v >= least and v * share >= total)
-        ngrams[n] = np.array([int(lm._key([np.array([p]) for p in k])[0]) for k, _ in kept], np.int64), np.array([v for _, v in kept], np.int64)
-    return lm.Automaton(words, np.array([c[w] for w in words]), ngrams, total, len(c), len(texts)), c, words
-
-
-def test_probabilities_of_each_state_sum_to_one():
-    rng = random.Random(4)
-    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 30))) for _ in range(60)]
-    a, c, words = automaton(texts)
-    for s in range(len(a.fall)):
-        total = 0.0
-        for k in range(len(words)):
-            x, low = s, 0.0
-            while (arc := a.arcs.get(x << lm.WORD | k)) is None:
-                low += a.weight[x]
-                x = a.fall[x]
-            total += 10 ** (low + arc[0])
-        total += 10 ** (a.escape[s] - a.floor) * (1 + sum(n + 1 for w, n in c.items() if w not in a.words))
-        assert total == pytest.approx(1, abs=1e-9)
-    assert len(a.fall) > 20
-
-
-def test_fit_counts_like_by_hand(spark):
-    rng = random.Random(9)
-    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(0, 12))) for _ in range(50)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    counts = lm.fit(docs, head=200, share=100)
-    a, _, words = automaton(texts, head=200, share=100)
-    b = lm.Automaton(counts.words, counts.word_counts, counts.ngrams, counts.total, counts.distinct, counts.texts)
-    assert counts.words == words and a.arcs == b.arcs and a.weight == b.weight
-    scores = {r.doc_id: r.score for r in lm.score(docs, counts).collect()}
-    for k, t in enumerate(texts):
-        _, _, _, walk, rest = a.walk(t)
-        assert scores[k] == pytest.approx(walk) and not rest
-    assert sum(scores.values()) > sum(x[4] for x in brute(list(enumerate(texts)), lambda k: True))
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "a b " * 400_000), (2, "a b")], "doc_id long, text string")
+    made = {r.doc_id: r for r in lm.score(docs, lm.fit(docs)).collect()}
+    assert made[1].n_tokens == 800_001 and made[1].score > made[1].base_score and made[2].n_known == 3
 
 
 def test_lm_query(spark):
     rows = {r.doc_id: r for r in queries.op8_lm(spark, D).collect()}
     docs = [tuple(r) for r in spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").collect()]
-    for k, n, known, total, base in brute(docs, lambda k: zlib.crc32(str(k).encode()) % 7 != 2):
+    for k, n, known, total, base, score in brute(docs, lambda k: zlib.crc32(str(k).encode()) % 7 != 2)[0]:
         r = rows[k]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, zlib.crc32(str(k).encode()) % 7 == 2) and r.base_score == pytest.approx(base)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, zlib.crc32(str(k).encode()) % 7 == 2)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
     held = [r for r in rows.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
