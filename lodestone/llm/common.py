@@ -122,10 +122,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     return docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(kept), "_key").select(F.col("_key").alias("doc_id"), "text", "y")
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str, bound: int, fold: tuple[int, int, bool] | None, make: Callable[[list[str]], list[bytes]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, y, features binary) of ``labelled_sample``; of rows that repeat a key that of the smallest features counts.
+
+    So there are ``bound`` rows at most, however often keys repeat, and no text leaves the task that reads it.
+    """
+    sample = labelled_sample(docs, labels, label, bound, fold, key, text)
+    kind = sample.schema["doc_id"].dataType.simpleString()
+
+    def over(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), pa.array(make(texts(batch)), pa.binary())], names=["doc_id", "y", "features"])
+
+    return map_arrow(sample, over, f"doc_id {kind}, y int, features binary").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("features").alias("features"))
+
+
 def in_one_task(sample: DataFrame, fn: Callable[[list[tuple]], Iterator[pa.RecordBatch]], schema) -> list:
-    """Rows that ``fn`` makes of all rows of a bounded sample, sorted, in one task of an executor.
+    """Rows that ``fn`` makes of all rows of a bounded sample, sorted by key, in one task of an executor.
 
-    Training reads its texts where the memory is, and only the model travels to the driver.
+    Training is where the memory is, and only the model travels to the driver.
     """
     small_batches(sample.sparkSession)
 
@@ -137,4 +151,4 @@ def in_one_task(sample: DataFrame, fn: Callable[[list[tuple]], Iterator[pa.Recor
         del rows
         release()
 
-    return sample.repartition(1).sortWithinPartitions(*[c for c in ("doc_id", "text") if c in sample.columns]).mapInArrow(train, schema).collect()
+    return sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(train, schema).collect()

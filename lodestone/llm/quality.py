@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_one_task, labelled_sample, map_arrow, texts
+from .common import in_one_task, labelled_features, map_arrow, texts
 
 BITS, SIZE = 16, 16
-#: Words that a worker remembers, and characters of a word beyond which it has no n-grams.
-REMEMBERED, LONGEST = 300_000, 64
+#: Words that a worker remembers, and characters of words that are hashed together.
+REMEMBERED, PIECE = 300_000, 1 << 18
 #: No word, as it holds blanks.
 PAIR = " = "
 
@@ -39,7 +39,7 @@ def rows_of(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     """
     shift = np.uint64(64 - bits)
     whole = np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64) >> shift
-    marked = [f"<{w}>" if len(w) <= LONGEST else "" for w in words]
+    marked = [f"<{w}>" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(words))
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -57,6 +57,27 @@ def rows_of(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     return at[np.argsort(of, kind="stable")].astype(np.int32), np.bincount(of, minlength=len(words))
 
 
+def long_rows(word: str, bits: int = BITS) -> np.ndarray:
+    """How often a word of any length has each row of the table; its n-grams are hashed a piece at a time."""
+    counts = np.zeros(1 << bits, np.int64)
+    counts[xxhash.xxh64_intdigest(word, 7) >> (64 - bits)] += 1
+    marked = f"<{word}>"
+    for k in range(0, len(marked), PIECE):
+        for n in (3, 4, 5):  # those that begin in this piece
+            code = np.frombuffer(marked[k : k + PIECE + n - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            if len(code) >= n:
+                counts += np.bincount(_windows(code, n, bits).astype(np.int64), minlength=1 << bits)
+    return counts
+
+
+def _windows(code: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Rows of all windows of ``n`` code points."""
+    h = code
+    for k in range(2, n + 1):
+        h = (h[: len(code) - k + 1] * np.uint64(0x9E3779B97F4A7C15)) ^ code[k - 1 :]
+    return (h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - bits)
+
+
 def repeats(words: list[str]) -> int:
     """How many words are like the one before."""
     return sum(map(str.__eq__, words, words[1:]))
@@ -68,12 +89,28 @@ def bag(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     words = Counter(listed)
     if n := repeats(listed):
         words[PAIR] = n
-    if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    at, sizes = rows_of(list(words), bits)
-    times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), sizes)
-    distinct, back = np.unique(at, return_inverse=True)
-    return distinct.astype(np.int32), np.bincount(back, times).astype(np.float32)
+    counts = np.zeros(1 << bits, np.float64)
+    for group in _groups(words):
+        if len(group) == 1 and len(group[0]) > PIECE:
+            counts += long_rows(group[0], bits) * float(words[group[0]])
+        else:
+            at, sizes = rows_of(group, bits)
+            counts += np.bincount(at, np.repeat([float(words[w]) for w in group], sizes), 1 << bits)
+    distinct = np.flatnonzero(counts)
+    return distinct.astype(np.int32), counts[distinct].astype(np.float32)
+
+
+def _groups(words: Iterable[str]) -> Iterator[list[str]]:
+    """Words, some hundred thousand characters at a time; a longer one by itself."""
+    group, size = [], 0
+    for w in words:
+        if group and size + len(w) > PIECE:
+            yield group
+            group, size = [], 0
+        group.append(w)
+        size += len(w)
+    if group:
+        yield group
 
 
 @dataclass
@@ -92,8 +129,13 @@ class Model:
         if len(self.sums) > REMEMBERED:
             self.sums.clear()
             self.sizes.clear()
-        if new := list(words.difference(self.sums)):
-            at, sizes = rows_of(new, len(self.parts).bit_length() - 1)
+        bits = len(self.parts).bit_length() - 1
+        for new in _groups(words.difference(self.sums)):
+            if len(new) == 1 and len(new[0]) > PIECE:
+                counts = long_rows(new[0], bits)
+                self.sums[new[0]], self.sizes[new[0]] = float(counts @ self.parts.astype(np.float64)), int(counts.sum())
+                continue
+            at, sizes = rows_of(new, bits)
             ends = np.cumsum(sizes)
             sums = np.add.reduceat(self.parts[at].astype(np.float64), ends - sizes)
             self.sums.update(zip(new, sums.tolist()))
@@ -121,16 +163,20 @@ class Model:
         return self.scores([text])[0]
 
 
-def train(rows: list[tuple[str, int]], bits: int = BITS, size: int = SIZE, epochs: int = 5, rate: float = 3.0, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Table, output matrix and bias, after SGD with a rate that falls to zero."""
+def train(rows: list[tuple[str, int]], bits: int = BITS, **more) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``train_bags`` of texts."""
+    return train_bags([(bag(t, bits), y) for t, y in rows], bits, **more)
+
+
+def train_bags(rows: list[tuple[tuple[np.ndarray, np.ndarray], int]], bits: int = BITS, size: int = SIZE, epochs: int = 5, rate: float = 3.0, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table, output matrix and bias, after SGD with a rate that falls to zero, from bags of rows and their classes."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / size, 1 / size, (1 << bits, size)).astype(np.float32)
     out, bias = np.zeros((size, 2), np.float32), np.zeros(2, np.float32)
-    bags = [bag(t, bits) for t, _ in rows]
     step, steps = 0, max(1, epochs * len(rows))
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            (at, times), y = bags[k], rows[k][1]
+            (at, times), y = rows[k]
             lr = rate * (1 - step / steps)
             step += 1
             total = times.sum() or 1.0
@@ -147,12 +193,20 @@ def train(rows: list[tuple[str, int]], bits: int = BITS, size: int = SIZE, epoch
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 8_000, fold: tuple[int, int, bool] | None = (4, 2, False), key: str = "doc_id", text: str = "text") -> Model:
-    """Learns from at most ``bound`` labelled documents (those of the smallest md5) of the training fold."""
-    sample = labelled_sample(docs, labels, label, bound, fold, key, text)
+    """Learns from at most ``bound`` labelled documents (those of the smallest md5) of the training fold.
+
+    Bags, at most ``2 ** BITS`` rows each, are made where the texts are; they alone meet in one task.
+    """
+
+    def bags(found: list[str]) -> list[bytes]:
+        return [b"".join(x.tobytes() for x in bag(t)) for t in found]
+
+    sample = labelled_features(docs, labels, label, bound, fold, bags, key, text)
 
     def learn(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if rows:
-            table, out, bias = train([(t or "", int(y)) for _, t, y in rows])
+            halves = lambda x: (np.frombuffer(x, np.int32, len(x) // 8), np.frombuffer(x, np.float32, len(x) // 8, len(x) // 2))
+            table, out, bias = train_bags([(halves(x), int(y)) for _, y, x in rows])
             parts = (table @ (out[:, 1] - out[:, 0])).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([parts.tobytes()]), pa.array([float(bias[1] - bias[0])])], names=["parts", "bias"])
 

@@ -220,7 +220,9 @@ def learn(x: np.ndarray, y: np.ndarray, outcome: int = 0, depth: int = 4, most:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 20_000, key: str = "doc_id", text: str = "text") -> DecisionList:
     """Learns from at most ``bound`` labelled documents that pass the base rule; none: keeps all."""
     sample = statistics(labelled_sample(docs, labels, label, bound, key=key, text=text), keep=["doc_id", "y"])
-    rows = sorted(tuple(r) for r in sample.where(~base_failed()).select("doc_id", "y", *COUNTS).collect())
+    # Of rows that repeat a key that of the smallest statistics counts, so ``bound`` rows come to the driver at most.
+    each = sample.where(~base_failed()).groupBy("doc_id").agg(F.min(F.struct("y", *COUNTS)).alias("c"))
+    rows = sorted(tuple(r) for r in each.select("doc_id", "c.*").collect())
     if not rows:
         return DecisionList()
     data = np.array(rows, np.float64)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import REMEMBERED as FORGOTTEN
-from .common import column, in_one_task, labelled_sample, map_arrow, texts
+from .common import column, in_one_task, labelled_features, map_arrow, texts
 
 BITS = 20
 EMPTY_BIAS = -1.0
@@ -63,18 +63,22 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + float(self.weights[features(text, int(len(self.weights)).bit_length() - 1)].sum()), -30, 30))))
 
 
-def train(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, least: int = 5) -> Model:
+def train(rows: list[tuple[str, int]], bits: int = BITS, **more) -> Model:
+    """``train_slots`` of texts."""
+    return train_slots([(features(t, bits), y) for t, y in rows], bits, **more)
+
+
+def train_slots(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, least: int = 5) -> Model:
     """FTRL-proximal, one text at a time in the rows' order; the bias has no penalty.
 
     Slots that fewer than ``least`` of the texts have are left out: a rare one only tells a text by heart.
     """
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     z0 = n0 = 0.0
-    slots = [features(t, bits).astype(np.int32) for t, _ in rows]
     seen = np.zeros(1 << bits, np.int32)
-    for s in slots:
+    for s, _ in rows:
         seen[s] += 1
-    slots = [s[seen[s] >= least] for s in slots]
+    slots = [s[seen[s] >= least] for s, _ in rows]
     for _ in range(epochs):
         for s, (_, y) in zip(slots, rows):
             zs, ns = z[s], n[s]
@@ -92,12 +96,19 @@ def train(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = 4, alpha:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 24_000, fold: tuple[int, int, bool] | None = (5, 0, False), key: str = "doc_id", text: str = "text") -> Model:
-    """Learns from at most ``bound`` labelled documents (those of the smallest md5) of the training fold."""
-    sample = labelled_sample(docs, labels, label, bound, fold, key, text)
+    """Learns from at most ``bound`` labelled documents (those of the smallest md5) of the training fold.
+
+    Slots, at most ``2 ** BITS`` of a text, are made where the texts are; they alone meet in one task.
+    """
+
+    def slots(found: list[str]) -> list[bytes]:
+        return [features(t).astype(np.int32).tobytes() for t in found]
+
+    sample = labelled_features(docs, labels, label, bound, fold, slots, key, text)
 
     def learn(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
-        model = train([(t or "", int(y)) for _, t, y in rows])
+        model = train_slots([(np.frombuffer(x, np.int32), int(y)) for _, y, x in rows])
         at = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[model.bias], model.weights[at]]))], names=["slot", "weight"])
 
