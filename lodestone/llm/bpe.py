@@ -28,9 +28,9 @@ from .common import column, map_arrow, texts
 #: Longer pieces take the heap; the others' matrices hold at most CELLS ids.
 LONG, CELLS = 1024, 1 << 21
 #: Distinct pieces that a worker remembers; beyond it forgets all and goes on.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Characters of the texts whose pieces are looked at together.
-PART = 2_000_000
+PART = 500_000
 NONE = np.int32(0x7FFFFFFF)
 
 
