@@ -87,9 +87,13 @@ def remove_lone_periods(text: Column) -> Column:
 
 
 def page_title(html: Column) -> Column:
-    """Text of the first h1 without tags; null if there is none."""
-    found = F.regexp_extract(html, r"(?s)<h1[^>]*>(.*?)</h1>", 1)
-    return F.nullif(F.trim(F.regexp_replace(found, "<[^>]*>", "")), F.lit(""))
+    """The last run of text within an h1 of the page, as it stands between its tags; null if there is none.
+
+    ``A <i>title</i> of two`` gives `` of two``: runs replace each other, in later headings as well.
+    """
+    heads = F.regexp_extract_all(html, F.lit(r"(?is)<h1\b[^>]*>(.*?)(?:</h1\s*>|\z)"), F.lit(1))
+    runs = F.flatten(F.transform(heads, lambda h: F.split(F.regexp_replace(h, r"(?s)<!--.*?-->", "<>"), r"<[^>]*>", -1)))
+    return F.get(F.reverse(F.filter(runs, lambda r: r != "")), F.lit(0))
 
 
 def topic_node_group(name: Column) -> Column:
@@ -101,11 +105,17 @@ def topic_node_name(name: Column) -> Column:
     return F.regexp_replace(name, r"\*$", "")
 
 
-def mine_phrases(docs: DataFrame, phrases: DataFrame, doc: str = "doc", words: str = "tokens", longest: int = 4) -> DataFrame:
-    """(doc, phrase, n): how often dictionary phrases of 2 to ``longest`` words occur.
+def _grams(words: str, sizes: Iterable[int]) -> Column:
+    return F.flatten(F.array(*(F.expr(f"if(size({words}) < {n}, array(), transform(sequence(1, size({words}) - {n - 1}), i -> array_join(slice({words}, i, {n}), ' ')))") for n in sizes)))
+
+
+def mine_phrases(docs: DataFrame, phrases: DataFrame, doc: str = "doc", words: str = "tokens") -> DataFrame:
+    """(doc, phrase, n): how often dictionary phrases of two words and more occur.
 
-    Every n-gram is made once and meets the dictionary in a semi-join.
+    N-grams of the lengths that the dictionary has are made once and meet it in a semi-join.
     """
-    grams = F.flatten(F.array(*(F.expr(f"if(size({words}) < {n}, array(), transform(sequence(1, size({words}) - {n - 1}), i -> array_join(slice({words}, i, {n}), ' ')))") for n in range(2, longest + 1))))
-    found = docs.select(doc, F.explode(grams).alias("phrase"))
+    sizes = sorted(r[0] for r in phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect() if r[0] and r[0] > 1)
+    if not sizes:
+        return docs.select(doc, F.lit("").alias("phrase"), F.lit(0).cast("long").alias("n")).where("false")
+    found = docs.select(doc, F.explode(_grams(words, sizes)).alias("phrase"))
     return found.join(phrases.select("phrase").distinct(), "phrase", "left_semi").groupBy(doc, "phrase").agg(F.count("*").alias("n"))

@@ -36,13 +36,19 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 def inverse_tfidf_edges(docs: DataFrame) -> DataFrame:
     """(doc, term, weight): length / (tf * ln(N div df)); near words are rare ones that a document often has.
 
-    The division is of integers, so a term that over half the documents have has no edge.
+    The division is of integers, so a term that over half the documents have has no edge. Each row is a document
+    of its own, also where labels repeat. There are at most twice as many terms that over half the documents have
+    as the mean document has different ones, so these are broadcast, and leave before anything is joined.
     """
-    counts = docs.select("doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.countDistinct("doc").alias("n"))
-    idf = df.join(F.broadcast(n)).select("term", F.ln(F.expr("n div df").cast("double")).alias("idf")).where("idf > 0")
-    return counts.join(idf, "term").select("doc", "term", (F.col("len") / (F.col("tf") * F.col("idf"))).alias("weight"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc", "tokens")
+    rows = numbered.select("_row", "doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    counts = rows.groupBy("_row", "doc", "len", "term").agg(F.count("*").alias("tf"))
+    df = document_frequency(docs)
+    n = docs.agg(F.count("*").alias("n"))
+    idf = df.join(F.broadcast(n)).select("term", F.expr("n div df").alias("ratio"))
+    common = idf.where("ratio < 2").select("term")
+    rare = idf.where("ratio >= 2").select("term", F.ln(F.col("ratio").cast("double")).alias("idf"))
+    return counts.join(F.broadcast(common), "term", "left_anti").join(rare, "term").select("doc", "term", (F.col("len") / (F.col("tf") * F.col("idf"))).alias("weight"))
 
 
 def frequent_words(docs: DataFrame, least: int) -> DataFrame:
@@ -50,11 +56,19 @@ def frequent_words(docs: DataFrame, least: int) -> DataFrame:
     return docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("term")
 
 
-def min_count_filter(docs: DataFrame, least: int) -> DataFrame:
-    """(doc, tokens) without rarer words, in order; a document that loses all keeps an empty list."""
-    spread = docs.select("doc", F.posexplode("tokens").alias("pos", "term"))
-    kept = spread.join(frequent_words(docs, least), "term", "left_semi").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("l"))
-    return docs.select("doc").join(kept, "doc", "left").select("doc", F.coalesce(F.col("l.term"), F.array().cast("array<string>")).alias("tokens"))
+def min_count_filter(docs: DataFrame, least: int, drop_periods: bool = False) -> DataFrame:
+    """``docs`` without rarer words, in order; a document that loses all keeps an empty list.
+
+    Each row is filtered by itself, also where labels repeat; other columns stay. Only rare words, which are found
+    fewer than ``least`` times each, go back to their rows, known by label and tokens.
+    """
+    counted = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    rare = counted.where(F.col("n") < least).select("term")
+    key = F.struct(F.coalesce(F.col("doc"), F.lit("")).alias("d"), F.xxhash64("tokens").alias("h"))
+    hit = docs.select(key.alias("_key"), F.explode(F.array_distinct("tokens")).alias("term")).join(rare, "term", "left_semi").groupBy("_key").agg(F.collect_set("term").alias("_rare"))
+    met = docs.withColumn("_key", key).join(hit, "_key", "left")
+    kept = F.when(F.col("_rare").isNull(), F.col("tokens")).otherwise(F.filter("tokens", lambda t: ~F.array_contains(F.col("_rare"), t)))
+    return met.select(*[(F.filter(kept, lambda t: t != ".") if drop_periods else kept).alias("tokens") if c == "tokens" else F.col(c) for c in docs.columns])
 
 
 def rare_word_cutoff(df: DataFrame, fraction: float) -> DataFrame:

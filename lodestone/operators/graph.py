@@ -7,7 +7,7 @@ and in the end the nodes of one path.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -58,10 +58,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return symmetric(edges).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def distances(edges: DataFrame | None, sources: DataFrame, rounds: int | None = None, target: object = None, kept: DataFrame | None = None) -> DataFrame:
+def distances(edges: DataFrame | None, sources: DataFrame, rounds: int | None = None, target: object = None, kept: DataFrame | None = None, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(source, node, dist, hops): shortest distances from each source (source), by relaxation to a fixed point.
 
     rounds: at most so many hops. target: nodes no nearer than it aren't followed. kept: an adjacency to use.
+    within: (source, bound) of the distances so far, beyond which nodes are left out; a bound may only fall.
     """
     sym = kept if kept is not None else adjacency(edges)
     best = checkpoint(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops")))
@@ -79,6 +80,9 @@ def distances(edges: DataFrame | None, sources: DataFrame, rounds: int | None =
             F.least("dist", "old").alias("dist"),
             F.when(F.col("old").isNull() | (F.col("dist") < F.col("old")), F.lit(k)).otherwise(F.col("old_hops")).alias("hops"),
         )
+        if within is not None:
+            merged = checkpoint(merged)
+            merged = merged.join(F.broadcast(within(merged)), "source", "left").where(F.col("bound").isNull() | (F.col("dist") <= F.col("bound") + EPS)).drop("bound")
         best = checkpoint(merged)
         frontier = best.where(F.col("hops") == k)
         if frontier.isEmpty():
@@ -138,14 +142,39 @@ def first_found_path(edges: DataFrame, source: object, target: object, exact: bo
 
 
 def nearest(edges: DataFrame, sources: DataFrame, n: int, wanted: DataFrame | None = None, include_source: bool = False, rounds: int | None = None) -> DataFrame:
-    """(source, node, dist, rank): the n nearest nodes of each source, of ``wanted`` (node) only if given."""
-    found = distances(edges, sources, rounds)
-    if not include_source:
-        found = found.where("source <> node")
-    if wanted is not None:
-        found = found.join(wanted.select("node").distinct(), "node", "left_semi")
+    """(source, node, dist, rank): the n nearest nodes of each source, of ``wanted`` (node) only if given.
+
+    Once n of them are reached, nodes beyond the n-th are neither kept nor followed: no weight is negative, so no
+    way through them leads to a nearer one. The bound is one row for each source.
+    """
+    names = None if wanted is None else checkpoint(wanted.select("node").distinct())
+
+    def found(reached: DataFrame) -> DataFrame:
+        some = reached if include_source else reached.where("source <> node")
+        return some if names is None else some.join(names, "node", "left_semi")
+
+    def bounds(reached: DataFrame) -> DataFrame:
+        first = found(reached).withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("dist"))).where(F.col("r") <= n)
+        return first.groupBy("source").agg(F.max("dist").alias("bound"), F.count("*").alias("c")).where(F.col("c") == n).drop("c")
+
     order = Window.partitionBy("source").orderBy(F.round("dist", 9), "node")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("source", "node", "dist", "rank")
+    near = found(distances(edges, sources, rounds, within=bounds))
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("source", "node", "dist", "rank")
+
+
+def nearest_in_ball(edges: DataFrame, source: object, n: int) -> DataFrame:
+    """(source, node, dist, rank): the n nearest others within the first ball of edges around the node that holds so many.
+
+    The ball grows by one hop a round; a component of fewer nodes gives all of them.
+    """
+    start = edges.sparkSession.range(1).select(F.lit(source).alias("node"))
+    nodes, size = checkpoint(start), 1
+    while True:
+        near, nodes = expand(edges, nodes)
+        near, nodes = checkpoint(near), checkpoint(nodes)
+        if (now := nodes.count()) > n or now == size:
+            return nearest(near, start.select(F.col("node").alias("source")), n)
+        size = now
 
 
 def cloud(edges: DataFrame, path: DataFrame, papers: DataFrame, n: int) -> DataFrame:
@@ -230,6 +259,32 @@ def small(edges: Iterable[tuple], weighted: bool = False) -> dict:
     return out
 
 
+def small_modularity(graph: dict, rounds: int = 100) -> float:
+    """Modularity of the parts that label propagation finds in a small unweighted graph; 0 without edges.
+
+    Nodes take, in order, the label that most of their neighbours have, until none changes. A neighbour counts
+    once and once more for each triangle with it, so that ties, which fall to the smallest, are few.
+    """
+    part = {v: v for v in graph}
+    near = {v: {u: 1 + len(graph[v].keys() & graph[u].keys()) for u in graph[v]} for v in graph}
+    for _ in range(rounds):
+        before = dict(part)
+        for v in sorted(graph):
+            votes: dict = {}
+            for u, n in near[v].items():
+                votes[part[u]] = votes.get(part[u], 0) + n
+            if votes:
+                part[v] = min(votes, key=lambda x: (-votes[x], x))
+        if part == before:
+            break
+    twice = sum(map(len, graph.values()))
+    inner, degree = {}, {}
+    for v, others in graph.items():
+        degree[part[v]] = degree.get(part[v], 0) + len(others)
+        inner[part[v]] = inner.get(part[v], 0) + sum(part[u] == part[v] for u in others)
+    return sum(inner[p] / twice - (degree[p] / twice) ** 2 for p in degree) if twice else 0.0
+
+
 def betweenness(graph: dict) -> dict:
     """Unweighted, unnormalised betweenness of every node of a small graph; each pair counts in both directions."""
     score = dict.fromkeys(graph, 0.0)

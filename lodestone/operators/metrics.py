@@ -92,6 +92,7 @@ METRICS: dict[str, Callable[[Query], DataFrame | float]] = {
     "TopicWalkBtwn": _of_network("btwn"),
     "TopicWalkEigen": _of_network("eigen"),
     "TopicNetCCoef": lambda q: clustering(q.network),
+    "TopicNetMod": lambda q: graph.small_modularity(graph.small(q.network)),
 }
 
 

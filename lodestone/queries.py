@@ -154,7 +154,7 @@ def contains_known_word(s, d):
 def phrase_mining(s, d):
     bench = table(s, d, "benchmark").select(X.tokens(F.lower("text")).alias("t"))
     pairs = bench.select(F.explode(F.expr("if(size(t) < 2, array(), transform(sequence(1, size(t) - 1), i -> concat(t[i - 1], ' ', t[i])))")).alias("phrase"))
-    return X.mine_phrases(docs_of(s, d), pairs, longest=2)
+    return X.mine_phrases(docs_of(s, d), pairs)
 
 
 @query()
@@ -196,7 +196,7 @@ def sanitize_query_word(s, d):
     return names_of(s, d).select(F.col("label").alias("word"), X.sanitize(F.col("label")).alias("clean"))
 
 
-@query(r"select page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '') as title from pages")
+@query(r"""select page_id, list_filter(flatten(list_transform(regexp_extract_all(html, '(?is)<h1\b[^>]*>(.*?)(?:</h1\s*>|\z)', 1), lambda h: regexp_split_to_array(regexp_replace(h, '(?s)<!--.*?-->', '<>', 'g'), '<[^>]*>'))), lambda x: x <> '')[-1] as title from pages""")
 def page_title(s, d):
     return table(s, d, "pages").select("page_id", X.page_title(F.col("html")).alias("title"))
 

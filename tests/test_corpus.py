@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import corpus
 
@@ -38,6 +39,15 @@ def test_min_count_keeps_order_and_empty_documents(spark):
     assert {r.doc: r.tokens for r in again.collect()} == found
 
 
+def test_rows_that_repeat_a_label_are_documents_of_their_own(spark):
+    d = spark.createDataFrame([("p", ["a", "b", "a"]), ("p", ["a", "c"]), ("p", ["a", "c"]), (None, ["c", "q"]), ("r", [])], "doc string, tokens array<string>").withColumn("year", F.lit(1999))
+    made = corpus.min_count_filter(d, 2)
+    assert sorted((r.doc or "", r.tokens, r.year) for r in made.collect()) == [("", ["c"], 1999), ("p", ["a", "a"], 1999), ("p", ["a", "c"], 1999), ("p", ["a", "c"], 1999), ("r", [], 1999)]
+    two = spark.createDataFrame([("p", ["a", "b", "b"]), ("p", ["c", "d"]), ("q", ["e"]), ("s", ["e"])], "doc string, tokens array<string>")
+    found = sorted((r.doc, r.term, round(r.weight, 6)) for r in corpus.inverse_tfidf_edges(two).collect())
+    assert found == [("p", "a", 2.164043), ("p", "b", 1.082021), ("p", "c", 1.442695), ("p", "d", 1.442695), ("q", "e", 1.442695), ("s", "e", 1.442695)]
+
+
 def test_slices(spark):
     d = spark.createDataFrame([("a", 2000, ["x"]), ("b", 2001, ["y", "x"]), ("c", 2004, ["x"])], "doc string, year int, tokens array<string>")
     assert sorted(r.slice for r in corpus.time_slices(d, 2).collect()) == [0, 0, 2]

@@ -92,6 +92,33 @@ def test_long_chain_is_one_component(spark):
     assert {r.root for r in graph.components(e).collect()} == {"n00"}
 
 
+def test_nearest_stops_early_and_is_exact(spark):
+    rng = random.Random(7)
+    rows = [(f"n{a:03d}", f"n{b:03d}", round(rng.random(), 2)) for a, b in ((rng.randrange(120), rng.randrange(120)) for _ in range(400)) if a != b]
+    e, start = edges(spark, *rows), spark.createDataFrame([("n000",), ("n001",), ("n002",)], "source string")
+    whole = graph.distances(e, start)
+    wanted = spark.createDataFrame([(f"n{k:03d}",) for k in range(0, 120, 3)], "node string")
+    for n in (1, 5, 50):
+        want = {}
+        for r in whole.collect():
+            if r.node != r.source and int(r.node[1:]) % 3 == 0:
+                want.setdefault(r.source, []).append((round(r.dist, 9), r.node))
+        want = {(s, x, k + 1) for s, v in want.items() for k, (_, x) in enumerate(sorted(v)[:n])}
+        assert {(r.source, r.node, r["rank"]) for r in graph.nearest(e, start, n, wanted).collect()} == want
+
+
+def test_nearest_in_ball(spark):
+    e = edges(spark, ("a", "b", 5.0), ("a", "c", 1.0), ("c", "d", 1.0), ("d", "b", 1.0), ("d", "e", 9.0))
+    # The first ball has b and c, and not the way over d that makes b nearer.
+    assert [(r.node, r.dist) for r in graph.nearest_in_ball(e, "a", 2).orderBy("rank").collect()] == [("c", 1.0), ("b", 5.0)]
+    assert [r.node for r in graph.nearest_in_ball(e, "a", 9).orderBy("rank").collect()] == ["c", "d", "b", "e"]
+
+
+def test_small_modularity():
+    two = graph.small([("a", "b", 1), ("b", "c", 1), ("a", "c", 1), ("x", "y", 1), ("y", "z", 1), ("x", "z", 1), ("c", "x", 1)])
+    assert graph.small_modularity(two) == pytest.approx(2 * (6 / 14 - (7 / 14) ** 2)) and graph.small_modularity({}) == 0.0
+
+
 def test_betweenness_of_a_star():
     g = graph.small([("hub", x, 1.0) for x in "abc"])
     assert graph.betweenness(g) == {"hub": 6.0, "a": 0.0, "b": 0.0, "c": 0.0}

@@ -72,9 +72,19 @@ def test_validate(spark):
 
 
 def test_titles_and_groups(spark):
-    assert one(spark, "<h1 class='x'>A <b>big</b> one</h1><h1>no</h1>", X.page_title) == "A big one"
+    assert one(spark, "<h1 class='x'>A <b>big</b> one</h1><h1>no</h1>", X.page_title) == "no"
+    assert one(spark, "<h1 class='x'>A <b>big</b> one</h1>", X.page_title) == " one"
+    assert one(spark, "<H1>A <!-- mark -->title</H1>", X.page_title) == "title"
+    assert one(spark, "<h1></h1>", X.page_title) is None
     assert one(spark, "<p>none</p>", X.page_title) is None
     assert [one(spark, n, X.topic_node_group) for n in ("Topic_1*", "Topic_1", "heart")] == [2, 1, 3]
     assert one(spark, None, lambda c: X.tokens(c)) == []
     assert one(spark, "l y a b", lambda c: X.tokens(c, 2)) == ["a", "b"]
     assert one(spark, "a . b .", X.remove_lone_periods) == "a b"
+
+
+def test_phrases_of_any_length(spark):
+    docs = spark.createDataFrame([("d", "a b c d e f a b".split())], "doc string, tokens array<string>")
+    phrases = spark.createDataFrame([("a b",), ("b c d e f a",), ("z z",), ("a",)], "phrase string")
+    assert {(r.phrase, r.n) for r in X.mine_phrases(docs, phrases).collect()} == {("a b", 2), ("b c d e f a", 1)}
+    assert X.mine_phrases(docs, phrases.where("phrase = 'a'")).isEmpty()
