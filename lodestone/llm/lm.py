@@ -9,12 +9,17 @@ tokens, so each history's probabilities sum to one:
     P(w | v) = (c(v, w) - DISCOUNT) / c(v) + free(v) P(w),    P(w | v) = free(v) P(w) where (v, w) isn't kept
 
 Histories are the states, kept pairs the arcs, and log free(v) the weight of the failure arc to the root; a text
-is one walk from left to right that carries the state and adds logarithms. The model is a table in the shared
-folder that grows with the corpus. The automaton that is broadcast has its head only: tokens of a share of one in
-``HEAD``, pairs of one in ``SHARE``. Where the walk fails there, or leaves the head, it notes the token or pair, and a
-join with the whole table adds what it weighs: log P(w) + log free(w) for a token, and for a pair what its arc
-is above the failure. So the sum is that of the whole automaton, and which part is broadcast changes no score.
-Of pairs only those are looked up that a bitmap of bounded size (``BITS``) doesn't rule out.
+is one walk from left to right that carries the state and adds logarithms. As a token leads to its own state
+whichever arc it takes, all steps of a batch of texts are looked up together. The model is a table in the shared
+folder that grows with the corpus. What is broadcast is its head: the most frequent tokens and pairs, at most
+``HEAD`` and ``ARCS`` of them. Where the walk leaves the head, it notes the token or pair, and a join with the whole
+table adds what that weighs: log P(w) + log free(w) for a token, and for a pair what its arc is above the failure.
+So the sum is that of the whole automaton, and which part is broadcast changes no score.
+
+Most pairs are found once or twice. A first pass over the texts counts hashes of pairs, in sorted and packed
+blocks; the second one counts the pairs themselves, without those that the first ruled out. That, and which
+pairs are looked up in the table, is told by bitmaps of ``2 ** BITS`` bits: if very many pairs are kept, bitmaps
+fill up and rule out less, which costs rows that move, but no result.
 
 Tokens and pairs are known by 64-bit hashes. Null texts count as empty: one end. Each row is scored by itself,
 whether keys are null or repeat; very long texts are one row. No training document at all: N and V are zero and
@@ -30,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +44,13 @@ from .common import column, release, small_batches, stored
 
 #: A token that no word can be, and the hash that stands before a text's first token.
 END, START = b" ", xxhash.xxh64_intdigest(b"\n", 8)
-HEAD, SHARE, DISCOUNT, LEAST = 250_000, 250_000, 0.75, 2
-#: Bits of the map of pairs in the table.
+HEAD, ARCS, DISCOUNT, LEAST = 1_000_000, 500_000, 0.75, 5
+#: Bits of the maps of pairs.
 BITS = 27
 #: Words that a worker remembers, and tokens that are counted together.
-WORDS, HELD = 400_000, 3_000_000
-#: States and words of arcs take so many bits.
-WORD = 20
+WORDS, HELD = 300_000, 2_000_000
+#: Words of the head have numbers of so many bits.
+WORD = 24
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -78,124 +84,237 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n, p, s, c): n 0 the start, 1 tokens (p 0), 2 pairs of p and s; summed over some million tokens."""
-    known: dict[bytes, int] = {}
-    hashes = [_signed(START)]
-    held: list[int] = []
+class _Corpus:
+    """Texts as numbers of their tokens, 0 before each text, and the hash of each number."""
 
-    def out() -> Iterator[pa.RecordBatch]:
-        ids, key = np.array(held, np.int64), np.array(hashes, np.int64)
-        times = np.bincount(ids, minlength=len(key))
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.hashes, self.held = [_signed(START)], []
+
+    def add(self, text: str | None) -> None:
+        found = tokens(text)
+        for w in set(found).difference(self.known):
+            self.known[w] = len(self.hashes)
+            self.hashes.append(key_of(w))
+        self.held.append(0)
+        self.held += map(self.known.__getitem__, found)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and counts of tokens; of distinct pairs, the numbers of both and the counts."""
+        ids, key = np.array(self.held, np.int64), np.array(self.hashes, np.int64)
         pairs = ids[:-1] * len(key) + ids[1:]
         pairs, c = np.unique(pairs[ids[1:] > 0], return_counts=True)
-        n = np.concatenate([np.array([0], np.int8), np.ones(len(key) - 1, np.int8), np.full(len(pairs), 2, np.int8)])
-        p = np.concatenate([np.zeros(len(key), np.int64), key[pairs // len(key)]])
-        s = np.concatenate([key, key[pairs % len(key)]])
-        c = np.concatenate([times, c])
-        for k in range(0, len(n), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 18)]) for x in (n, p, s, c)], names=["n", "p", "s", "c"])
+        return key, np.bincount(ids, minlength=len(key)), pairs // len(key), pairs % len(key), c
+
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[_Corpus]:
+    """Texts, some million tokens at a time."""
+    part = _Corpus()
     for batch in batches:
         for t in column(batch, "text").to_pylist():
-            held.append(0)
-            for w in tokens(t):
-                if (k := known.get(w)) is None:
-                    k = known[w] = len(hashes)
-                    hashes.append(key_of(w))
-                held.append(k)
-            if len(held) > HELD:
-                yield from out()
-                known, hashes, held = {}, hashes[:1], []
-    if held:
-        yield from out()
-    del known, hashes, held
+            part.add(t)
+            if len(part.held) > HELD:
+                yield part
+                part = _Corpus()
+    if part.held:
+        yield part
+    del part
     release()
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising numbers of 48 bits and counts up to 255: byte by byte of the differences, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(1).compress(steps.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes())
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    a = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    n = len(a) // 7
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :6] = a[: 6 * n].reshape(6, n).T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64), a[6 * n :].astype(np.int64)
+
+
+def frequent_pairs(source: DataFrame, least: int, bits: int) -> np.ndarray:
+    """A bitmap of the first ``bits`` bits of the hashes of pairs that are found ``least`` times, and few others.
+
+    Hashes meet in buckets of their first bits, of which there are eight for each partition of a shuffle, so a
+    task holds one bucket at a time; what comes to the driver is the bitmap.
+    """
+    partitions = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = min(bits - 3, max(10, (8 * partitions - 1).bit_length()))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            key, _, p, s, c = part.counts()
+            of = pair_keys(key[p], key[s]).view(np.uint64)
+            order = np.argsort(of)
+            of, c = of[order], c[order]
+            ends = np.searchsorted(of >> np.uint64(64 - top), np.arange((1 << top) + 1, dtype=np.uint64))
+            rest = (of << np.uint64(top)) >> np.uint64(16)
+            there = np.flatnonzero(np.diff(ends))
+            blocks = [_packed(rest[ends[k] : ends[k + 1]], c[ends[k] : ends[k + 1]]) for k in there]
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+    def meet(blocks: list[bytes]) -> bytes:
+        keys, counts = (np.concatenate(x) for x in zip(*map(_unpacked, blocks)))
+        keys, at = np.unique(keys, return_inverse=True)
+        kept = keys[np.bincount(at, counts) >= least] >> np.uint64(48 - (bits - top))
+        flags = np.zeros(1 << bits - top, np.uint8)
+        flags[kept.astype(np.int64)] = 1
+        return np.packbits(flags, bitorder="little").tobytes()
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda k, found: pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([meet(found)], pa.binary())], names=["bucket", "bits"])
+        now, held = None, []
+        for batch in batches:
+            for k, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != now and held:
+                    yield made(now, held)
+                    held = []
+                now = k
+                held.append(block)
+        if held:
+            yield made(now, held)
+        release()
+
+    found = source.mapInArrow(pack, "bucket int, block binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "bucket int, bits binary").collect()
+    size = 1 << bits - top - 3
+    bitmap = np.zeros(1 << bits - 3, np.uint8)
+    for k, raw in found:
+        bitmap[k * size : (k + 1) * size] = np.frombuffer(bytes(raw), np.uint8)
+    return bitmap
+
+
+def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys a bitmap of their first bits has."""
+    place = keys.view(np.uint64) >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
+    return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 @dataclass
 class Model:
-    """table: (n, key, p, s, c, prob, low, more): log P of a token, and what its walk adds to that. Totals, and the bitmap of pairs."""
+    """table: (n, key, p, s, c, low, more): n 0 the start, 1 tokens, 2 pairs of p and s; low is log P of a token, more what
+    its walk adds to that. total, distinct: of training tokens. words, pairs: counts from which they are in the head."""
 
     table: DataFrame
     total: int
     distinct: int
-    texts: int
+    words: int
+    pairs: int
     bitmap: np.ndarray
-    head: int
-    share: int
 
 
-def fit(docs: DataFrame, train: Column | None = None, text: str = "text", head: int = HEAD, share: int = SHARE, least: int = LEAST, discount: float = DISCOUNT, bits: int = BITS) -> Model:
+def fit(docs: DataFrame, train: Column | None = None, text: str = "text", head: int = HEAD, arcs: int = ARCS, least: int = LEAST, discount: float = DISCOUNT, bits: int = BITS) -> Model:
     """The model of the documents for which ``train`` is true (all by default)."""
-    if not 0 < share <= head < (1 << WORD) - 2:
-        raise ValueError("share must be head at most, and head under 2 ** 20 - 2")
-    small_batches(docs.sparkSession)
+    if not 0 < head < (1 << WORD) - 1 or not 13 <= bits <= 30:
+        raise ValueError("head must be under 2 ** 24 - 1, and bits between 13 and 30")
+    spark = docs.sparkSession
+    small_batches(spark)
     source = (docs if train is None else docs.where(train)).select(F.col(text).alias("text"))
-    grams = stored(source.mapInArrow(_count, "n byte, p long, s long, c long").groupBy("n", "p", "s").agg(F.sum("c").alias("c")).where((F.col("n") < 2) | (F.col("c") >= least)), "lm-grams")
+    sent = spark.sparkContext.broadcast(frequent_pairs(source, least, bits))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            key, times, p, s, c = part.counts()
+            p, s = key[p], key[s]
+            hit = _marked(sent.value, pair_keys(p, s))
+            n = np.concatenate([np.array([0], np.int8), np.ones(len(key) - 1, np.int8), np.full(int(hit.sum()), 2, np.int8)])
+            cols = [n, np.concatenate([np.zeros(len(key), np.int64), p[hit]]), np.concatenate([key, s[hit]]), np.concatenate([times, c[hit]])]
+            for k in range(0, len(n), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 17)]) for x in cols], names=["n", "p", "s", "c"])
+
+    grams = stored(source.mapInArrow(count, "n byte, p long, s long, c long").groupBy("n", "p", "s").agg(F.sum("c").alias("c")).where((F.col("n") < 2) | (F.col("c") >= least)), "lm-grams")
     single = F.col("n") == 1
-    total, distinct, texts = grams.where("n < 2").agg(F.coalesce(F.sum(F.when(single, F.col("c"))), F.lit(0)), F.count(F.when(single, 1)), F.coalesce(F.sum(F.when(~single, F.col("c"))), F.lit(0))).first()
+    total, distinct = grams.where(single).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ones = grams.where("n < 2").select("n", F.col("s").alias("key"), "c", F.when(single, (F.col("c") + 1.0) / F.lit(float(total + distinct + 1))).alias("prob"))
     twos = grams.where("n = 2").select("p", "s", "c")
     kept = twos.groupBy("p").agg(F.sum(F.col("c") - F.lit(discount)).alias("kept"))
-    states = ones.join(kept, F.col("p") == F.col("key"), "left").select("n", "key", "c", "prob", F.when(F.col("kept").isNotNull(), F.greatest(1 - F.col("kept") / F.col("c"), F.lit(1e-9))).alias("free"))
-    states = stored(states, "lm-states")
+    states = stored(ones.join(kept, F.col("p") == F.col("key"), "left").select("n", "key", "c", "prob", F.when(F.col("kept").isNotNull(), F.greatest(1 - F.col("kept") / F.col("c"), F.lit(1e-9))).alias("free")), "lm-states")
     by_first = states.where("free is not null").select(F.col("key").alias("p"), F.col("c").alias("seen"), "free")
-    by_last = states.where("n = 1").select(F.col("key").alias("s"), F.col("prob").alias("low"))
-    arcs = twos.join(by_first, "p").join(by_last, "s").withColumn("prob", (F.col("c") - F.lit(discount)) / F.col("seen") + F.col("free") * F.col("low"))
-    arcs = arcs.select(F.lit(2).cast("byte").alias("n"), F.xxhash64("p", "s").alias("key"), "p", "s", "c", "prob", F.lit(None).cast("double").alias("low"), (F.log10("prob") - F.log10("free") - F.log10("low")).alias("more"))
-    nodes = states.select("n", "key", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("s"), "c", "prob", F.log10("prob").alias("low"), F.coalesce(F.log10("free"), F.lit(0.0)).alias("more"))
-    table = stored(nodes.unionByName(arcs), "lm-model")
-    tail = table.where((F.col("n") == 2) & (F.col("c") * share < total)).select((F.pmod("key", F.lit(1 << bits)) + 1).alias("k"))
+    by_last = states.where("n = 1").select(F.col("key").alias("s"), "prob")
+    more = F.log10((F.col("c") - F.lit(discount)) / F.col("seen") + F.col("free") * F.col("prob")) - F.log10("free") - F.log10("prob")
+    steps = twos.join(by_first, "p").join(by_last, "s").select(F.lit(2).cast("byte").alias("n"), F.xxhash64("p", "s").alias("key"), "p", "s", "c", F.lit(None).cast("double").alias("low"), more.alias("more"))
+    none = F.lit(None).cast("long")
+    nodes = states.select("n", "key", none.alias("p"), none.alias("s"), "c", F.log10("prob").alias("low"), F.coalesce(F.log10("free"), F.lit(0.0)).alias("more"))
+    table = stored(nodes.unionByName(steps), "lm-model")
+    words, pairs = _least_count(table, 1, head), _least_count(table, 2, arcs)
+    place = F.shiftrightunsigned("key", 64 - bits) + 1
+    tail = table.where((F.col("n") == 2) & (F.col("c") < pairs)).select(place.alias("k"))
     # Numbers count from one, buckets have 32,768 bits; what comes to the driver is 2 ** bits bits at most.
     parts = tail.groupBy(F.bitmap_bucket_number("k").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits")).collect()
-    bitmap = np.zeros(max(1, (1 << bits) >> 3) + (1 << 12), np.uint8)
+    bitmap = np.zeros(1 << bits - 3, np.uint8)
     for at, raw in parts:
         made = np.frombuffer(bytes(raw), np.uint8)
-        bitmap[(at - 1) << 12 : ((at - 1) << 12) + len(made)] |= made
-    return Model(table, int(total), int(distinct), int(texts), bitmap, head, share)
+        bitmap[(at - 1) << 12 :][: len(made)] = made[: len(bitmap) - ((at - 1) << 12)]
+    return Model(table, int(total), int(distinct), words, pairs, bitmap)
 
 
-class Automaton:
-    """The head: state 0 the root, 1 the start, k + 2 after word k; arcs by state and word; log free as failure weights."""
+def _least_count(table: DataFrame, n: int, most: int) -> int:
+    """The smallest power of two such that at most ``most`` entries are found as often."""
+    sizes = table.where(F.col("n") == n).agg(*(F.count(F.when(F.col("c") >= 1 << k, 1)) for k in range(62))).first()
+    return 1 << next((k for k, size in enumerate(sizes) if size <= most), 62)
 
-    def __init__(self, words: np.ndarray, low: np.ndarray, more: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], start: float):
-        self.ids = {k: i for i, k in enumerate(words.tolist())}
-        self.low, self.weight = low.tolist(), [0.0, start, *more.tolist()]
-        state = {_signed(START): 1} | {k: i + 2 for k, i in self.ids.items()}
-        self.arcs = {state[p] << WORD | self.ids[s]: x for p, s, x in zip(*(c.tolist() for c in pairs))}
-        self.codes: dict[bytes, int] = {}
-        self.keys: dict[bytes, int] = {}
+
+class Automaton:
+    """The head: numbers of words, log P and log free by number, the start's after the words'; logs of arcs by both numbers."""
+
+    def __init__(self, keys: np.ndarray, low: np.ndarray, more: np.ndarray, start: float, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        order = np.argsort(keys)
+        self.keys, self.low, self.more = keys[order], low[order], np.append(more[order], start)
+        p, s, log = pairs
+        p, s = np.where(p == _signed(START), len(keys), self.number(p)), self.number(s)
+        arcs = (p << WORD) | s
+        order = np.argsort(arcs)
+        self.arcs, self.logs = arcs[order], (log + self.more[p] + self.low[s])[order]
+        self.forget()
+
+    def forget(self) -> None:
+        """Tokens known so far: a slot for each, 0 the start; key and number of each slot, -1 outside of the head."""
+        self.slots: dict[bytes, int] = {}
+        self.slot_keys, self.codes = np.array([_signed(START)], np.int64), np.array([len(self.keys)], np.int64)
+
+    def number(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of words of the head, -1 for others."""
+        return _find(self.keys, keys)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.keys) > WORDS:
-            self.keys.clear()
-            self.codes.clear()
-        for w in words.difference(self.keys):
-            k = self.keys[w] = key_of(w)
-            self.codes[w] = self.ids.get(k, -1)
-
-    def walk(self, found: list[bytes]) -> tuple[int, float, float, list[int]]:
-        """Head tokens; their base score; the walk's logarithm; places of tokens that it failed at."""
-        low, arcs, weight = self.low, self.arcs, self.weight
-        state, base, total, known, failed = 1, 0.0, 0.0, 0, []
-        for at, k in enumerate(map(self.codes.__getitem__, found)):
-            if k < 0:
-                total += weight[state]
-                failed.append(at)
-                state = 0
-                continue
-            known += 1
-            p = low[k]
-            base += p
-            if (arc := arcs.get(state << WORD | k)) is None:
-                total += weight[state] + p
-                failed.append(at)
-            else:
-                total += arc
-            state = k + 2
-        # The failure arc of the end is never taken, nor has it any weight.
-        return known, base, total, failed
+        if len(self.slots) > WORDS:
+            self.forget()
+        if new := list(words.difference(self.slots)):
+            keys = np.fromiter(map(key_of, new), np.int64, len(new))
+            self.slots.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
+            self.slot_keys, self.codes = np.concatenate([self.slot_keys, keys]), np.concatenate([self.codes, self.number(keys)])
+
+    def walk(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """By text: tokens of the head, their base score, the walk's logarithm; owners and keys of what isn't in the head.
+
+        The state before a token is the number of the one before; where no arc leads on, the failure arc does.
+        """
+        self.learn(set().union(*texts))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        flat = np.fromiter((x for t in texts for x in (0, *map(self.slots.__getitem__, t))), np.int64, int(sizes.sum()) + len(texts))
+        owner = np.repeat(np.arange(len(texts)), sizes + 1)[1:]
+        step = flat[1:] > 0
+        state, word, owner = flat[:-1][step], flat[1:][step], owner[step]
+        p, s = self.codes[state], self.codes[word]
+        inside = s >= 0
+        low = np.where(inside, np.append(self.low, 0.0)[s], 0.0)
+        arc = _find(self.arcs, np.where((p >= 0) & inside, (p << WORD) | s, -1))
+        logs = np.where(arc >= 0, np.append(self.logs, 0.0)[arc], np.where(p >= 0, self.more[p], 0.0) + low)
+        by = lambda x: np.bincount(owner, x, len(texts))
+        rare, failed = ~inside, arc < 0
+        pairs = pair_keys(self.slot_keys[state[failed]], self.slot_keys[word[failed]])
+        return by(inside).astype(np.int64), by(low), by(logs), owner[rare], self.slot_keys[word[rare]], owner[failed], pairs
+
+
+def _find(of: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys among the sorted ones ``of``, -1 for others."""
+    if not len(of):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(of, keys), len(of) - 1)
+    return np.where(of[at] == keys, at, -1)
 
 
 _built: dict[int, Automaton] = {}
@@ -225,39 +344,39 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     small_batches(spark)
     table, total = model.table, model.total
     floor = -math.log10(total + model.distinct + 1)
-    # At most ``head`` tokens can each be one in ``head``, and ``share`` pairs one in ``share``.
-    words = _arrays(table.where((F.col("n") == 1) & (F.col("c") * model.head >= total)), "key", "low", "more")
-    pairs = table.where((F.col("n") == 2) & (F.col("c") * model.share >= total)).withColumn("log", F.log10("prob"))
+    words = _arrays(table.where((F.col("n") == 1) & (F.col("c") >= model.words)), "key", "low", "more")
+    # An arc whose words aren't in the head, which only very small bounds can leave out, is looked up.
+    top = table.where((F.col("n") == 2) & (F.col("c") >= model.pairs))
+    pairs = _arrays(top, "p", "s", "more")
+    here = np.isin(pairs[1], words[0]) & (np.isin(pairs[0], words[0]) | (pairs[0] == _signed(START)))
+    bitmap = model.bitmap.copy()
+    for k in (pair_keys(pairs[0][~here], pairs[1][~here]).view(np.uint64) >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)).tolist():
+        bitmap[k >> 3] |= 1 << (k & 7)
     begun = table.where("n = 0").select("more").first()
-    sent = spark.sparkContext.broadcast((*words, _arrays(pairs, "p", "s", "log"), begun[0] if begun else 0.0, model.bitmap))
-    number, mask = sent._jbroadcast.id(), (1 << (len(model.bitmap) - (1 << 12)).bit_length() + 2) - 1
+    sent = spark.sparkContext.broadcast((*words, begun[0] if begun else 0.0, tuple(x[here] for x in pairs), bitmap))
+    number = sent._jbroadcast.id()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, bitmap, row = built(number, sent), sent.value[-1], TaskContext.get().partitionId() << 40
 
-        def single(text: str | None) -> tuple:
-            found = tokens(text)
-            automaton.learn(set(found))
-            known, base, logp, failed = automaton.walk(found)
-            at = np.array(failed, np.int64)
-            key = np.fromiter(map(automaton.keys.__getitem__, found), np.int64, len(found))
-            before = np.concatenate([np.array([_signed(START)], np.int64), key[:-1]])
-            both = pair_keys(before[at], key[at])
-            place = both & mask
-            both = both[(bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
-            rare = np.fromiter((automaton.keys[found[k]] for k in failed if automaton.codes[found[k]] < 0), np.int64)
-            return len(found), known, base, logp, rare, both
+        def lists(n: int, owner: np.ndarray, keys: np.ndarray) -> pa.Array:
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))
 
         for batch in batches:
-            made = [single(t) for t in column(batch, "text").to_pylist()]
-            lists = []
-            for k in (4, 5):
-                sizes = np.fromiter((len(x[k]) for x in made), np.int64, len(made))
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in made]), pa.int64())))
-            plain = [pa.array([x[k] for x in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(made))), column(batch, "key"), *plain, *lists], names=["row", "key", "n", "known", "low", "logp", "rare", "pairs"])
-            row += len(made)
+            name, every, k = column(batch, "key"), column(batch, "text").to_pylist(), 0
+            while k < len(every):  # about a million characters at a time, so that the steps don't pile up
+                found, chars, first = [], 0, k
+                while k < len(every) and chars < 2_000_000:
+                    found.append(tokens(every[k]))
+                    chars += len(every[k] or "")
+                    k += 1
+                known, low, logs, of, rare, at, pairs = automaton.walk(found)
+                hit = _marked(bitmap, pairs)
+                cols = [pa.array(np.arange(row, row + len(found))), name.slice(first, len(found)), pa.array([len(t) for t in found], pa.int64()), pa.array(known), pa.array(low), pa.array(logs), lists(len(found), of, rare), lists(len(found), at[hit], pairs[hit])]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "key", "n", "known", "low", "logp", "rare", "pairs"])
+                row += len(found)
+        automaton.forget()
         release()
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -265,13 +384,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     walked = stored(source.mapInArrow(walk, f"row long, key {kind}, n long, known long, low double, logp double, rare array<long>, pairs array<long>"), "lm-walked")
     sought = walked.select("row", F.lit(1).cast("byte").alias("n"), F.explode("rare").alias("key")).unionByName(walked.select("row", F.lit(2).cast("byte").alias("n"), F.explode("pairs").alias("key")))
     met = sought.join(table.where("n > 0").select("n", "key", "low", "more"), ["n", "key"], "left")
-    one = F.col("n") == 1
+    one, none = F.col("n") == 1, F.lit(0.0)
     rest = met.groupBy("row").agg(
         F.count(F.when(one & F.col("low").isNotNull(), 1)).alias("_known"),
-        F.coalesce(F.sum(F.when(one, F.coalesce("low", F.lit(floor)))), F.lit(0.0)).alias("_low"),
-        F.coalesce(F.sum("more"), F.lit(0.0)).alias("_more"),
+        F.coalesce(F.sum(F.when(one, F.coalesce("low", F.lit(floor)))), none).alias("_low"),
+        F.coalesce(F.sum("more"), none).alias("_more"),
     )
-    none = F.lit(0.0)
     return walked.drop("rare", "pairs").join(rest, "row", "left").select(
         F.col("key").alias(key),
         F.col("n").alias("n_tokens"),

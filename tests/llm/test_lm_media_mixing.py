@@ -19,14 +19,14 @@ D = "/root/testdata/sf0.001"
 TEXTS = [(1, "the cat sat on the mat"), (2, "the cat sat on the mat the cat ran"), (1, None), (None, "THE Cat unknownword sat"), (3, ""), (4, "the cat sat"), (4, "the cat sat")]
 
 
-def brute(rows, train):
-    """Each row's numbers by plain dictionaries: the base score, and that of all pairs found twice, discounted, over single tokens."""
+def brute(rows, train, least=lm.LEAST):
+    """Each row's numbers by plain dictionaries: the base score, and that of all pairs found often enough, discounted, over single tokens."""
     texts = [lm.tokens(x) for k, x in rows if train(k)]
     c, g, after = Counter(t for x in texts for t in x), Counter(), {}
     for x in texts:
         g.update(zip([None, *x], x))
     n, v = sum(c.values()), len(c)
-    g = {k: m for k, m in g.items() if m >= 2}
+    g = {k: m for k, m in g.items() if m >= least}
     for (p, w), m in g.items():
         after.setdefault(p, {})[w] = m
     seen = lambda p: len(texts) if p is None else c[p]
@@ -42,25 +42,25 @@ def brute(rows, train):
     return [(k, len(x), sum(c[t] > 0 for t in x), n, sum(math.log10(one(t)) for t in x), sum(math.log10(two(p, t)) for p, t in zip([None, *x], x))) for k, x in made], c, after, two
 
 
-@pytest.mark.parametrize("head,share,bits", [(1000, 1000, 16), (5, 5, 16), (20, 8, 3), (1, 1, 27)])
-def test_scores_by_hand(spark, head, share, bits):
+@pytest.mark.parametrize("head,arcs,bits,least", [(1000, 1000, 16, 2), (5, 5, 16, 2), (20, 8, 13, 3), (1, 1, 27, 2), (3, 400, 20, 1)])
+def test_scores_by_hand(spark, head, arcs, bits, least):
     """Whatever part of the table is broadcast, and however full its bitmap is."""
     rng = random.Random(9)
     texts = TEXTS + [(k, " ".join(rng.choice("abcdefgh") * rng.choice((1, 1, 2)) for _ in range(rng.randrange(0, 25)))) for k in range(10, 60)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit("own")).withColumn("c", F.lit(1)).withColumn("row", F.lit(1)).repartition(3)
-    counts = lm.fit(docs, F.coalesce(F.col("doc_id") % 4 != 0, F.lit(False)), head=head, share=share, bits=bits)
+    counts = lm.fit(docs, F.coalesce(F.col("doc_id") % 4 != 0, F.lit(False)), head=head, arcs=arcs, bits=bits, least=least)
     found = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 7), round(r.score, 7)) for r in lm.score(docs, counts).collect()]
-    want = [(*x[:4], round(x[4], 7), round(x[5], 7)) for x in brute(texts, lambda k: k is not None and k % 4 != 0)[0]]
+    want = [(*x[:4], round(x[4], 7), round(x[5], 7)) for x in brute(texts, lambda k: k is not None and k % 4 != 0, least)[0]]
     assert sorted(found, key=repr) == sorted(want, key=repr)
 
 
 def test_model_grows_with_the_corpus(spark):
-    """No cap: every pair found twice is in the table, whatever the head's bounds are."""
+    """No cap: every pair found often enough is in the table, whatever the head's bounds are."""
     rng = random.Random(2)
     rows = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(60))) for k in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    _, c, after, two = brute(rows, lambda k: True)
-    model = lm.fit(docs, head=7, share=3)
+    _, c, after, two = brute(rows, lambda k: True, 2)
+    model = lm.fit(docs, head=7, arcs=3, least=2)
     assert model.table.where("n = 2").count() == sum(map(len, after.values())) > 500 and model.table.where("n = 1").count() == len(c)
     for p in (None, "w1".encode(), "w59".encode()):  # a state's probabilities, with the class of unknown tokens, sum to one
         assert sum(two(p, w) for w in [*c, b"never seen"]) == pytest.approx(1)
