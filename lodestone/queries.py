@@ -760,3 +760,6 @@ def hypothesis_path(s, d):
     ends = [x["b"] for x in kept.groupBy("b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "b").limit(2).collect()]
     path = hypothesis.path_of(kept, ends)
     return path.select("leg", "pos", "label", X.kind(F.col("label")).alias("kind"), r("dist").alias("dist"))
+
+
+from . import queries_files  # noqa: E402, F401  (registers its queries)

@@ -71,11 +71,11 @@ def piped(spark: SparkSession, path: str, columns: int) -> DataFrame:
     return spark.read.csv(path, sep="|", schema=schema, quote="", escape="")
 
 
-def concept_texts(spark: SparkSession, path: str, column: int = 15) -> DataFrame:
-    """(label, text): column 1 and, by default, 15 of a concept table."""
+def concept_texts(spark: SparkSession, path: str, column: int = 15, cut: bool = False) -> DataFrame:
+    """(label, text): column 1 and, by default, 15 of a concept table; cut: only up to the first full stop before a blank."""
     if column < 2:
         raise ValueError("the text's column must be 2 or more")
-    return piped(spark, path, max(column, 2)).select(F.col("c1").alias("label"), F.col(f"c{column}").alias("text"))
+    return piped(spark, path, max(column, 2)).select(F.col("c1").alias("label"), (F.regexp_replace(f"c{column}", r"(?s)\.\s.*$", "") if cut else F.col(f"c{column}")).alias("text"))
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
@@ -137,9 +137,25 @@ def binary_edges(spark: SparkSession, path: str, nodes: DataFrame | None = None,
     return edges.join(left, "src", "left").join(right, "dst", "left").where("_l is not null or _r is not null").select("src", "dst", "w")
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(id, value): lines numbered from 0, in the order of the files' names and of the lines in them.
+
+    Splits of files are counted first, which gives few rows; a line's number is that of its split's first line and
+    its place after that.
+    """
+    at = F.monotonically_increasing_id().alias("_at")
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), at)
+    splits, seen = [], 0
+    for f, start, low, n in sorted(tuple(r) for r in read.groupBy("_file", "_start").agg(F.min("_at"), F.count("*")).collect()):
+        splits.append((f, start, seen - low))
+        seen += n
+    shifts = spark.createDataFrame(splits, "_file string, _start long, _shift long")
+    return read.join(F.broadcast(shifts), ["_file", "_start"]).select((F.col("_at") + F.col("_shift")).alias("id"), "value")
+
+
 def label_file(spark: SparkSession, path: str) -> DataFrame:
     """(id, label): a line's number from 0 is its id."""
-    return spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("id long, label string")
+    return numbered_lines(spark, path).withColumnRenamed("value", "label")
 
 
 def by_kind(vectors_: DataFrame, labels: DataFrame) -> DataFrame:
@@ -153,17 +169,28 @@ def by_kind(vectors_: DataFrame, labels: DataFrame) -> DataFrame:
     return vectors_.join(wanted, "label", "left_semi")
 
 
+def vectors_of(vectors_: DataFrame, labels: DataFrame, strict: bool = False) -> DataFrame:
+    """``by_kind``; strict: raises KeyError if a label has no vector (at most 20 of them are named)."""
+    found = by_kind(vectors_, labels)
+    if strict:
+        missing = labels.select("label").distinct().join(found.select("label"), "label", "left_anti").orderBy("label").limit(20).collect()
+        if missing:
+            raise KeyError(f"no vector of {', '.join(r[0] for r in missing)}")
+    return found
+
+
 def topic_view(spark: SparkSession, path: str) -> DataFrame:
     """(topic, rank, word, cnt) of a view: ``TOPIC: i rate`` lines open a topic, ``word count`` lines follow.
 
-    A view has some lines for each topic, so it is numbered in one task.
+    The lines that open topics are few; each other line belongs to the last of them before it.
     """
-    numbered = label_file(spark, path).select("id", F.trim("label").alias("line")).where("line <> ''")
-    parts = F.split("line", r"\s+")
-    w = Window.orderBy("id")
-    opened = numbered.select("id", parts.alias("p"), F.when(parts[0] == "TOPIC:", parts[1].cast("int")).alias("t"))
-    filled = opened.withColumn("topic", F.last("t", ignorenulls=True).over(w)).where("t is null")
-    return filled.select("topic", (F.row_number().over(Window.partitionBy("topic").orderBy("id")) - 1).alias("rank"), F.col("p")[0].alias("word"), F.col("p")[1].cast("double").cast("long").alias("cnt"))
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = numbered_lines(spark, path).where(F.trim("value") != "").select("id", parts.alias("p"))
+    heads = rows.where(F.col("p")[0] == "TOPIC:").agg(F.array_sort(F.collect_list(F.struct("id", F.col("p")[1].cast("int").alias("topic")))).alias("heads"))
+    words = rows.where(F.col("p")[0] != "TOPIC:").join(F.broadcast(heads))
+    topic = F.get(F.reverse(F.filter("heads", lambda h: h["id"] < F.col("id"))), F.lit(0))["topic"]
+    placed = words.select("id", topic.alias("topic"), "p")
+    return placed.select("topic", (F.row_number().over(Window.partitionBy("topic").orderBy("id")) - 1).alias("rank"), F.col("p")[0].alias("word"), F.col("p")[1].cast("double").cast("long").alias("cnt"))
 
 
 def evaluations(spark: SparkSession, positive: list[str], negative: list[str]) -> DataFrame:

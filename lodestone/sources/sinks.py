@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -68,6 +68,11 @@ def binary_edges(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.createDataFrame([tuple(r) for r in made], "path string, n long")
 
 
+def parameters(rows: list[tuple[str, float, float, float, float]], spark: SparkSession, path: str) -> None:
+    """Lines ``metric coef exponent min range``, which ``readers.parameters`` reads; there is one for each metric."""
+    spark.createDataFrame([(" ".join(map(str, r)),) for r in rows], "value string").coalesce(1).write.text(path)
+
+
 def topic_network(rows: list[tuple[str, str, float]], df: DataFrame, path: str) -> None:
     """CSV with the header Source,Target,Weight."""
     df.sparkSession.createDataFrame(rows, "Source string, Target string, Weight double").coalesce(1).write.csv(path, header=True)
