@@ -242,7 +242,7 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     sym = checkpoint(symmetric(edges))
     parts = sym.select(F.col("a").alias("node")).distinct().withColumn("part", F.col("node"))
     for _ in range(rounds):
-        votes = sym.join(parts.select(F.col("node").alias("b"), "part"), "b").groupBy(F.col("a").alias("node"), "part").agg(F.sum("w").alias("s"))
+        votes = sym.join(parts.select(F.col("node").alias("b"), "part"), "b").groupBy(F.col("a").alias("node"), "part").agg(F.round(F.sum("w"), 9).alias("s"))
         new = checkpoint(votes.groupBy("node").agg(F.min_by("part", F.struct(-F.col("s"), F.col("part"))).alias("part")))
         if new.join(parts.withColumnRenamed("part", "old"), "node").where("part <> old").isEmpty():
             return new

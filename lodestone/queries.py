@@ -505,6 +505,25 @@ def shortest_path(s, d):
     return s.createDataFrame([(round(path[-1][1], 6),)], "dist double")
 
 
+@query(f"""{_dist_sql('C1')}, p(node, dist, back) as (select node, dist, 0 from r where node = 'C2' union all
+        select x.node, x.dist, x.back from (select r.node, r.dist, p.back + 1 as back, row_number() over (order by r.node) as i from p join y on y.b = p.node join r on r.node = y.a where abs(r.dist + y.w - p.dist) < 1e-9 and r.dist < p.dist) as x where i = 1)
+    select (select max(back) from p) - back as pos, node, round(dist, 6) as dist from p""")
+def shortest_path_nodes(s, d):
+    path = graph.shortest_path(relations(s, d), "C1", "C2")
+    return s.createDataFrame([(k, n, round(x, 6)) for k, (n, x) in enumerate(path)], "pos long, node string, dist double")
+
+
+@query(f"""with recursive {_SYM}, h(node, hop) using key (node) as (select 'C1' as node, 0 as hop union select y.b, min(h.hop) + 1 from h join y on y.a = h.node left join recurring.h as o on o.node = y.b where o.node is null group by y.b),
+    sizes as (select hop, (select count(*) from h as i where i.hop <= h.hop) as n from h group by hop), ball as (select min(hop) as k from sizes where n > 40 and hop > 0),
+    z as (select y.* from y, ball where (select hop from h where node = y.a) < k or (select hop from h where node = y.b) < k),
+    r(source, node, dist) using key (source, node) as (select 'C1' as source, 'C1' as node, 0.0::double as dist union
+        select r.source, z.b, min(r.dist + z.w) from r join z on z.a = r.node left join recurring.r as o on o.source = r.source and o.node = z.b where o.dist is null or r.dist + z.w < o.dist - 1e-9 group by all)
+    select node, round(dist, 6) as dist, row_number() over (order by round(dist, 9), node) as rank from r where node <> 'C1' qualify rank <= 40""")
+def nearest_in_ball(s, d):
+    """The 40 nearest others in the first ball that holds so many."""
+    return graph.nearest_in_ball(relations(s, d), "C1", 40).select("node", r("dist").alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"{_dist_sql('C1', 'S1')} select source, node, round(dist, 6) as dist, row_number() over (partition by source order by round(dist, 9), node) as rank from r where source <> node qualify rank <= 20")
 def nearest_nodes(s, d):
     return graph.nearest(relations(s, d), sources(s, "C1", "S1"), 20).select("source", "node", r("dist").alias("dist"), F.col("rank").cast("long").alias("rank"))
@@ -557,9 +576,13 @@ def modularity_by_label(s, d):
     return graph.modularity(knn_edges(s, d), parts).select(r("modularity").alias("modularity"))
 
 
-@query()
+@query(f"""with recursive {_GRAPH}, y as (select a, b, w from g union all select b, a, w from g),
+    l(node, part, t) as (select distinct a, a, 0 from y union all
+        select node, part, t + 1 from (select v.node, v.part, v.t, row_number() over (partition by v.node order by v.s desc, v.part) as i
+            from (select y.a as node, l.part, l.t, round(sum(y.w), 9) as s from l join y on y.b = l.node where l.t < 10 group by all) as v) where i = 1)
+    select node, part from l where t = 10""")
 def label_propagation(s, d):
-    return graph.label_propagation(knn_edges(s, d))
+    return graph.label_propagation(knn_edges(s, d), rounds=10)
 
 
 def topic_net(s, d):
@@ -570,24 +593,47 @@ def topic_net(s, d):
     return metrics.topic_network(centres, (ends[0], ends[1]), ("V0", "V1"))
 
 
-@query()
+#: The first two vectors and ten centroids, each joined to its three nearest, and the shortest path from one to the other.
+_NET = f"""with recursive {_VIEW}, cx as (select topic, cnt, unnest(vec) as x, unnest(range(len(vec))) as pos from view), cy as (select topic, pos, sum(cnt * x) / sum(cnt) as x from cx group by all),
+    points as (select 'Topic_' || topic as name, list(x order by pos) as vec from cy group by topic union all select name, vec from v where vec_id in (0, 1)),
+    far as (select x.name as u, z.name as v, {_sum('(z[1] - z[2]) * (z[1] - z[2])', 'x.vec', 'z.vec')} as d from points as x join points as z on x.name <> z.name),
+    three as (select u, v, sqrt(d) as d from far qualify row_number() over (partition by u order by d, v) <= 3),
+    e as (select least(u, v) as a, greatest(u, v) as b, min(d) as w from three group by all), n2 as (select a, b, w from e union all select b, a, w from e),
+    walks(node, dist, path) as (select 'V0', 0.0::double, ['V0'] union all select n2.b, dist + w, list_append(path, n2.b) from walks join n2 on n2.a = node where not list_contains(path, n2.b) and node <> 'V1' and len(path) < 8),
+    best as (select path from walks where node = 'V1' order by dist limit 1)"""
+
+
+@query(f"{_NET} select a || case when list_contains(path, a) then '*' else '' end as source, b || case when list_contains(path, b) then '*' else '' end as target, round(w, 6) as weight from e, best")
 def topic_network(s, d):
     edges, path = topic_net(s, d)
-    return s.createDataFrame(metrics.topic_network_rows(edges, path), "source string, target string, weight double")
+    return s.createDataFrame([(a, b, round(w, 6)) for a, b, w in metrics.topic_network_rows(edges, path)], "source string, target string, weight double")
 
 
-@query()
+@query(f"""{_NET}, hops(s, node, path) as (select name, name, [name] from points where name in (select a from n2) union all
+        select s, n2.b, list_append(path, n2.b) from hops join n2 on n2.a = node where not list_contains(path, n2.b) and len(path) < 8),
+    short as (select s, node as t, path from hops where s <> node qualify len(path) = min(len(path)) over (partition by s, node)),
+    through as (select unnest(path[2:-2]) as node, 1.0 / count(*) over (partition by s, t) as part from short)
+    select p.a as node, list_contains(path, p.a) as on_path, round(coalesce((select sum(part) from through where through.node = p.a), 0), 6) as score from (select distinct a from n2) as p, best""")
 def betweenness_path(s, d):
     edges, path = topic_net(s, d)
     score = graph.betweenness(graph.small(edges))
-    return s.createDataFrame([(n, n in path, x) for n, x in sorted(score.items())], "node string, on_path boolean, score double")
+    return s.createDataFrame([(n, n in path, round(x, 6)) for n, x in sorted(score.items())], "node string, on_path boolean, score double")
 
 
-@query()
+@query(f"""{_NET}, x(node, x, t) as (select distinct a, 1.0::double, 0 from n2 union all
+        select node, q / sqrt(sum(q * q) over ()), t + 1 from (select me.node, me.t, any_value(me.x) + sum(n2.w * o.x) as q from x as me join n2 on n2.a = me.node join x as o on o.node = n2.b where me.t < 200 group by all))
+    select node, list_contains(path, node) as on_path, round(x, 6) as score from x, best where t = 200""")
 def eigenvector_path(s, d):
     edges, path = topic_net(s, d)
     score = graph.eigenvector(graph.small(edges, weighted=True))
-    return s.createDataFrame([(n, n in path, x) for n, x in sorted(score.items())], "node string, on_path boolean, score double")
+    return s.createDataFrame([(n, n in path, round(x, 6)) for n, x in sorted(score.items())], "node string, on_path boolean, score double")
+
+
+@query(f"""{_NET}, u as (select distinct a, b from n2), deg as (select a, count(*) as k from u group by a), m as (select sum(k * (k - 1) // 2)::double as m from deg),
+    t as (select count(*) as n from u as p join u as q on q.a = p.b join u as z on z.a = q.b and z.b = p.a)
+    select round(n / 2.0 / m, 6) as coefficient from t, m""")
+def topic_network_clustering(s, d):
+    return s.createDataFrame([(round(metrics.clustering(topic_net(s, d)[0]), 6),)], "coefficient double")
 
 
 # --- clouds, bags and topics -------------------------------------------------------------------
@@ -751,7 +797,10 @@ def random_search_params(s, d):
 # --- whole queries -----------------------------------------------------------------------------
 
 
-@query()
+@query(f"""with {_EDGES}, lim as (select min(weight) as lo, max(weight) as hi from e), g as (select doc, term, (weight - lo) / (hi - lo) as w from e, lim),
+    top as (select term, row_number() over (order by count(*) desc, term) as i from g group by term qualify i <= 2), x as (select (select term from top where i = 1) as a, (select term from top where i = 2) as b),
+    mid as (select p.doc, p.w as w1, q.w as w2 from x join g as p on p.term = x.a join g as q on q.term = x.b and q.doc = p.doc order by round(p.w + q.w, 9), p.doc limit 1)
+    select 0 as leg, 0 as pos, a as label, 'ngram' as kind, 0.0::double as dist from x union all select 0, 1, doc, 'paper', round(w1, 6) from mid union all select 0, 2, b, 'ngram', round(w1 + w2, 6) from x, mid""")
 def hypothesis_path(s, d):
     """Documents to tokens, inverse TF-IDF edges and the path between two of the vocabulary's words."""
     edges = corpus.inverse_tfidf_edges(docs_of(s, d)).select(F.col("doc").alias("a"), F.col("term").alias("b"), F.col("weight").alias("w"))
