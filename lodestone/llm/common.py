@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zlib
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys of a larger share of all rows than one in so many are hot.
+HOT = 1000
 #: Bytes that one Arrow batch of a Python operator holds at most (a single longer row still makes a batch).
 BATCH_BYTES = 8 << 20
 
@@ -20,10 +23,12 @@ BATCH_BYTES = 8 << 20
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) a temporary folder is made.
+    Only a session on one machine may leave it unset: a temporary folder is made there; elsewhere that raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -49,6 +54,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, small: DataFrame, on: str, size: str) -> DataFrame:
+    """``rows`` joined with ``small``, which has one row for each key ``on`` and the number ``size`` of its rows.
+
+    Keys of more than one in ``HOT`` of all rows, of which there are fewer than ``HOT``, are broadcast and stay where
+    they are; so whatever moves has no key that is much of it. ``rows`` is read twice and should be stored.
+    """
+    total = small.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot, rest = small.where(F.col(size) * HOT > total).drop(size), small.where(F.col(size) * HOT <= total).drop(size)
+    if hot.isEmpty():
+        return rows.join(rest, on)
+    here = rows.join(F.broadcast(hot), on)
+    return here.unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on))
+
+
 def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bounds the Arrow batches of this session by bytes, as texts differ widely in length."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -7,8 +7,9 @@ partition reads the members that begin in its range, streams them through Arrow
 member again by its offset if reading or checking it fails; other members aren't touched by that.
 
 A null text is empty: one row of 64 zero samples. Null keys, repeated rows and empty tables are kept as
-they are; other columns are not looked at. Only archives that the manifest lists have an index, which is
-written last, so what a lost task left behind is never planned.
+they are; other columns are not looked at; a very long text is one member. Each archive's index is written after
+it, and the manifest, with all archives' sizes, after all tasks. Only archives that the manifest lists are planned,
+so what a lost task left behind is never read.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql.types import StructType
 from .common import column, scratch, small_batches
 
 WIDTH = 64
-#: Bytes of an archive, and of the range of one partition.
-ARCHIVE, RANGE = 32 << 20, 8 << 20
+#: Bytes of an archive, least bytes that one partition reads, and partitions at most.
+ARCHIVE, RANGE, PARTS = 128 << 20, 8 << 20, 50_000
 #: Bytes of payload in one Arrow batch.
 BATCH = 4 << 20
 _ENTRY = "<QQqqB"  # offset and length of the image, key, unpadded bytes, whether the key is null
@@ -95,8 +96,7 @@ def feature(payload: bytes) -> str:
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> str:
     """Writes each row's text, as padded UTF-8, into archives of a folder; returns the folder.
 
-    Written without a shuffle. The manifest (archive, n_members) is written when all tasks are done,
-    then the driver's list of committed archives makes their indexes visible.
+    Written without a shuffle. The manifest (archive, n_members, n_bytes) is written when all tasks are done.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "media")
@@ -112,7 +112,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
             out.close()
             with where.open_output_stream(f"{base}/{name}.idx") as f:
                 f.write(b"".join(struct.pack(_ENTRY, *x) for x in index))
-            made.append((name, len(index)))
+            made.append((name, len(index), at + 1024))
 
         for batch in batches:
             for k, t in zip(column(batch, "key").to_pylist(), column(batch, "text").to_pylist()):
@@ -132,17 +132,33 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
         if out is not None:
             close()
         if made:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made)], names=["archive", "n_members"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made)], names=["archive", "n_members", "n_bytes"])
 
-    docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(write, "archive string, n_members long").write.parquet(f"{folder}/manifest")
+    docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(write, "archive string, n_members long, n_bytes long").write.parquet(f"{folder}/manifest")
     return folder
 
 
-class Range(InputPartition):
-    """Members of an archive that begin at ``start`` or after and before ``end``."""
+class Ranges(InputPartition):
+    """(archive, start, end): members of archives that begin at ``start`` or after and before ``end``."""
 
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
+
+
+def planned(sizes: list[tuple[str, int]], least: int, parts: int) -> list[list[tuple[str, int, int]]]:
+    """Byte ranges over archives of these sizes, as lists of ``least`` bytes each, or more if there were over ``parts`` lists."""
+    size = max(least, -(-sum(n for _, n in sizes) // parts))
+    lists, room = [], 0
+    for name, n in sizes:
+        at = 0
+        while at < n:
+            if room <= 0:
+                lists.append([])
+                room = size
+            step = min(room, n - at)
+            lists[-1].append((name, at, at + step))
+            at, room = at + step, room - step
+    return lists
 
 
 def retried(read: Callable[[], bytes], attempts: int, wait: float = 0.1) -> bytes:
@@ -162,31 +178,32 @@ class MediaReader(DataSourceReader):
         self.folder = options["path"].rstrip("/")
         self.range, self.attempts = int(options.get("rangebytes", RANGE)), int(options.get("attempts", 3))
 
-    def partitions(self) -> list[Range]:
-        """Byte ranges over the archives that the manifest lists; only sizes are looked up here."""
+    def partitions(self) -> list[Ranges]:
+        """Byte ranges over the archives that the manifest lists, by the sizes it has; nothing else is opened here."""
+        where, base = fs.FileSystem.from_uri(self.folder)
+        sizes: list[tuple[str, int]] = []
+        for x in where.get_file_info(fs.FileSelector(f"{base}/manifest")):
+            if x.base_name.startswith("part-"):
+                read = pq.read_table(x.path, filesystem=where, columns=["archive", "n_bytes"])
+                sizes += zip(read.column("archive").to_pylist(), read.column("n_bytes").to_pylist())
+        return [Ranges(x) for x in planned(sorted(sizes), self.range, PARTS)] or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for archive, start, end in partition.ranges:
+            yield from self.members(archive, start, end)
+
+    def members(self, archive: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
         where, base = fs.FileSystem.from_uri(self.folder)
-        listed = [x.path for x in where.get_file_info(fs.FileSelector(f"{base}/manifest")) if x.base_name.startswith("part-")]
-        names: list[str] = []
-        for path in listed:
-            names += pq.read_table(path, filesystem=where, columns=["archive"]).column("archive").to_pylist()
-        parts = []
-        for info in where.get_file_info([f"{base}/{n}" for n in sorted(names)]):
-            parts += [Range(info.path, s, min(s + self.range, info.size)) for s in range(0, max(info.size, 1), self.range)]
-        return parts or [Range("", 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
-        where, _ = fs.FileSystem.from_uri(self.folder)
-        with where.open_input_stream(f"{partition.archive}.idx") as f:
-            index = [x for x in struct.iter_unpack(_ENTRY, f.read()) if partition.start <= x[0] - 512 < partition.end]
+        path = f"{base}/{archive}"
+        with where.open_input_stream(f"{path}.idx") as f:
+            index = [x for x in struct.iter_unpack(_ENTRY, f.read()) if start <= x[0] - 512 < end]
         stream = None
 
         def member(offset: int, length: int) -> tuple[bytes, bytes]:
             nonlocal stream
             try:
                 if stream is None:
-                    stream = where.open_input_file(partition.archive)
+                    stream = where.open_input_file(path)
                 stream.seek(offset)
                 image = stream.read(length)
                 if len(image) != length:

@@ -89,6 +89,22 @@ def rake(cells: dict[tuple[str, str, str], int], plan: Plan) -> dict[tuple[str,
     return {c: weight[c] / n if n else plan.fraction for c, n in cells.items()}
 
 
+def gaps(cells: dict[tuple[str, str, str], int], plan: Plan = PLAN) -> list[tuple[str, str, float, float]]:
+    """(dimension, level, target share, share that the calibrated weights reach), for levels that have tokens.
+
+    Targets are out of reach where a level hasn't tokens enough, or where those of two dimensions contradict each
+    other; raking then ends near them, and this tells how near.
+    """
+    chance = rake(cells, plan)
+    weight = {c: chance[c] * n for c, n in cells.items() if n}
+    total, out = sum(weight.values()) or 1.0, []
+    for k, (name, targets) in enumerate((("source", plan.sources), ("language", plan.languages), ("topic", plan.topics))):
+        there = sorted({c[k] for c in weight})
+        named = sum(targets.get(x, 0.0) for x in there) or 1.0
+        out += [(name, x, targets.get(x, 0.0) / named, sum(w for c, w in weight.items() if c[k] == x) / total) for x in there]
+    return out
+
+
 def calibrated(docs: DataFrame, plan: Plan = PLAN, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
     """``docs`` and _source, _lang, _topic (levels), _n_tokens, _probability and _sampled, which replace columns of these names."""
     docs = docs.drop("_source", "_lang", "_topic", "_n_tokens", "_probability", "_sampled")

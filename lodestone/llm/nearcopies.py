@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import checkpoint, column, map_arrow, stored, texts
+from .common import checkpoint, column, join_hot, map_arrow, stored, texts
 from .simhash import components
 
 SIZE, LEAST = 5, 0.8
@@ -182,9 +182,10 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     pairs = pairs.unionByName(rare_pairs(rest.where("hot").select("id", "root"), near, size, least)).distinct()
     found = found.unionByName(verified(pairs, near, size, least))
     roots = components(found)
-    small = rows.groupBy("sid").agg(F.min(key).alias("least"), F.min("row").alias("id")).join(roots.withColumnRenamed("node", "id"), "id", "left").select("sid", "least", F.coalesce("root", "id").alias("root"))
+    small = rows.groupBy("sid").agg(F.min(key).alias("least"), F.min("row").alias("id"), F.count("*").alias("_n")).join(roots.withColumnRenamed("node", "id"), "id", "left").select("sid", "least", "_n", F.coalesce("root", "id").alias("root"))
     ids = small.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select(key, "sid").join(small.join(ids, "root").select("sid", "component_id"), "sid").select(key, "sid", "component_id")
+    # A third of all rows may be copies of one text.
+    return join_hot(rows.select(key, "sid"), checkpoint(small.join(ids, "root").select("sid", "_n", "component_id")), "sid", "_n").select(key, "sid", "component_id")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, least: float = LEAST) -> DataFrame:

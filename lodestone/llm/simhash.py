@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_arrow, texts
+from .common import checkpoint, join_hot, map_arrow, texts
 
 #: Shingles whose bits are unpacked together.
 CHUNK = 1 << 15
@@ -135,11 +135,12 @@ def components(edges: DataFrame) -> DataFrame:
 def clusters(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, seed: int = 42, distance: int = 2) -> DataFrame:
     """(key, fp long, component_id): component_id is the smallest key that a row's fingerprint reaches."""
     rows = checkpoint(fingerprints(df, text, size, seed, [key]))
-    distinct = rows.groupBy("fp").agg(F.min(key).alias("least"))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("_n")))
     roots = components(links(distinct.select("fp"), distance))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "_n", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(ids, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    # A third of all rows may have one fingerprint, that of empty texts for instance.
+    return join_hot(rows, checkpoint(named.join(ids, "root").select("fp", "_n", "component_id")), "fp", "_n").select(key, "fp", "component_id")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, seed: int = 42, distance: int = 2) -> DataFrame:

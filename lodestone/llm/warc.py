@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,10 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, scratch, small_batches
+from .common import column, scratch, small_batches, stored
 
 #: Bytes at which a task goes on in another archive, and bytes that are read or inflated at once.
 ARCHIVE, PIECE = 16 << 20, 1 << 18
+#: Rows of about 100 bytes that are broadcast at most.
+SENT = 200_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -62,8 +65,9 @@ def page_record(key: int | None, url: str | None, payload: bytes, sha: str, refe
 def archive(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None) -> DataFrame:
     """Writes the pages; returns the manifest (path, n_records, n_bytes), itself a table in the folder.
 
-    Digests are made in the JVM and counted before anything is shuffled: what moves is one row for
-    each payload that repeats, and then each page once, by the digest and key, to meet them.
+    Digests are made in the JVM and counted before anything is shuffled: what moves is keys and digests. Pages
+    that revisit others are a table of their own; up to ``SENT`` of them are sent to where the pages are, and
+    only if there are more each page moves once, by digest and key, to meet them.
     """
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
@@ -74,6 +78,8 @@ def archive(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url: s
     # One row for each pair of payload and key that revisits.
     again = known.groupBy("sha", "size", "page_id").agg(F.lit(1).alias("again")).join(heads, ["sha", "size"]).where(F.col("page_id").isNull() & F.col("first").isNotNull() | (F.col("page_id") != F.col("first")))
     again = again.select(F.col("sha").alias("_sha"), F.col("page_id").alias("_key"), "first", "again")
+    again = stored(again, "warc-again")
+    again = F.broadcast(again) if again.count() <= SENT else again
     met = rows.join(again, (F.col("sha") == F.col("_sha")) & F.col("page_id").eqNullSafe(F.col("_key")), "left")
     small_batches(spark)
 
@@ -142,10 +148,12 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 def read(spark: SparkSession, manifest: DataFrame, payload: bool = True) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) of all records but the archives' own.
 
-    One archive is read by one task, in a stream. Digests are verified; one that differs raises.
+    One archive is read by one task, in a stream. Digests are verified, and the number of records is compared with
+    the manifest's; what differs raises, so an archive that ends early isn't taken for a whole one. Records that
+    aren't named by a page's key have none.
     """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    number = lambda x: None if x in (None, "<urn:page:null>") else int(x[len("<urn:page:") : -1])
+    number = lambda x: int(m[1]) if x and (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
 
     def rows(path: str) -> Iterator[tuple]:
         store, at = fs.FileSystem.from_uri(path)
@@ -164,16 +172,19 @@ def read(spark: SparkSession, manifest: DataFrame, payload: bool = True) -> Data
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payload
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payload
         for batch in batches:
-            for path in column(batch, "path").to_pylist():
-                part, size = [], 0
+            for path, due in zip(column(batch, "path").to_pylist(), column(batch, "n_records").to_pylist()):
+                part, size, seen = [], 0, 0
                 for row in rows(path):
                     part.append(row)
+                    seen += 1
                     size += 200 + row[2] * payload
                     if size > PIECE * 16:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
                         part, size = [], 0
+                if seen != due:
+                    raise ValueError(f"{path} has {seen} of its {due} records")
                 if part:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
 
-    paths = manifest.select("path")
+    paths = manifest.select("path", "n_records")
     return paths.repartition(max(1, manifest.count()), "path").mapInArrow(scan, schema)

@@ -163,3 +163,14 @@ def test_query_on_documents(spark):
     keys = brute_components([(k, simhash.fingerprint(t)) for k, t in rows])
     found = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op2_simhash(spark, d).collect()}
     assert found == {k: (f"{brute_fingerprint(t):016x}", c) for (k, t), c in zip(rows, keys)}
+
+
+def test_hot_fingerprints(spark):
+    """Keys of a large share of the rows are joined where they are, the others are not; the result is the same."""
+    from lodestone.llm.common import join_hot
+
+    rows = spark.createDataFrame([(k % 3 and k, k) for k in range(9000)], "fp long, x long")
+    small = rows.groupBy("fp").count().withColumnRenamed("count", "n").selectExpr("fp", "n", "fp * 2 as y")
+    made = join_hot(rows, small, "fp", "n")
+    assert sorted(map(tuple, made.select("x", "y").collect())) == [(k, (k % 3 and k) * 2) for k in range(9000)] and made.columns == ["fp", "x", "y"]
+    assert sorted(r.x for r in join_hot(rows.where("fp > 0"), small.where("fp > 0"), "fp", "n").collect()) == [k for k in range(9000) if k % 3]

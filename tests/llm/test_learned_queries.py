@@ -35,9 +35,8 @@ def slots(text):
     return {(x * 0xD6E8FEB86659FD93 & U64) >> 44 for x in made}
 
 
-def test_op6_against_plain_ftrl(spark):
-    texts, labels, keys = tables(spark, "toxic", 5, 0)
-    rows = [(slots(texts[k]), labels[k]) for k in sorted(keys, key=lambda k: xxhash.xxh64_intdigest(str(k)))]
+def plain_ftrl(rows):
+    """Scores of slots, after FTRL-proximal over (slots, class) by plain dictionaries."""
     seen = Counter(s for x, _ in rows for s in x)
     z, n, z0, n0 = Counter(), Counter(), 0.0, 0.0
 
@@ -56,11 +55,16 @@ def test_op6_against_plain_ftrl(spark):
             z0 += g - (math.sqrt(n0 + g * g) - math.sqrt(n0)) / 2.0 * w0
             n0 += g * g
     bias = -z0 * 2.0 / (1 + math.sqrt(n0))
+    return lambda found: 1 / (1 + math.exp(-min(max(bias + sum(weight(s) for s in found), -30), 30)))
+
+
+def test_op6_against_plain_ftrl(spark):
+    texts, labels, keys = tables(spark, "toxic", 5, 0)
+    score = plain_ftrl([(slots(texts[k]), labels[k]) for k in sorted(keys, key=lambda k: xxhash.xxh64_intdigest(str(k)))])
     made = {r.doc_id: r for r in queries.op6_toxicity(spark, D).collect()}
-    assert set(made) == set(texts) and seen
+    assert set(made) == set(texts) and keys
     for k, t in texts.items():
-        want = 1 / (1 + math.exp(-min(max(bias + sum(weight(s) for s in slots(t)), -30), 30)))
-        assert made[k].score == pytest.approx(want, abs=1e-5)
+        assert made[k].score == pytest.approx(score(slots(t)), abs=1e-5)
         assert (made[k].held_out, made[k].predicted) == (zlib.crc32(str(k).encode()) % 5 == 0, int(made[k].score >= 0.5))
 
 
@@ -153,32 +157,34 @@ def test_op1_against_tiktoken(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
 
 
+def judged(rules, text):
+    """Words, whether the base rule fails, and what the list says, test by test, in order, over statistics counted by hand."""
+    t = text or ""
+    words = [w for w in t.replace("\n", " ").split(" ") if w]
+    lines = [x for x in t.split("\n") if x.strip()]
+    grams = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    again = {j for k in range(len(words) - 7) if grams[tuple(words[k : k + 8])] > 1 for j in range(k, k + 8)}
+    chars, symbols = sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>")
+    n = max(len(words), 1)
+    value = {
+        "symbols_per_word": symbols / n, "repeated_share": len(again) / n, "dup_line_share": (len(lines) - len(set(lines))) / max(len(lines), 1), "distinct_share": len(set(words)) / n,
+        "upper_share": sum("A" <= c <= "Z" for c in t) / max(chars, 1), "punct_per_word": sum(t.count(c) for c in "!?.,;:") / n, "mean_word_chars": chars / n,
+        "pair_repeat_share": sum(a == b for a, b in zip(words, words[1:])) / n, "words": float(len(words)),
+    }
+    verdict = rules.default
+    for r in rules.rules:
+        if all((value[quality_rules.RATIOS[k][0]] <= at) == most for k, most, at in r.tests):
+            verdict = r.outcome
+            break
+    failed = len(words) < 20 or 100 * len(again) > 30 * len(words)
+    return len(words), failed, not failed and verdict == 1
+
+
 def test_op4_verdict_by_its_own_rules(spark):
-    """``kept`` is what the list says, test by test, in order, over statistics that are counted by hand."""
     docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
     rules = quality_rules.fit(docs, labels)
-    made = {r.doc_id: r for r in queries.op4_quality_rules(spark, D).collect()}
-    for d in docs.collect():
-        t = d.text or ""
-        words = [w for w in t.replace("\n", " ").split(" ") if w]
-        assert made[d.doc_id].n_words == len(words)
-        lines = [x for x in t.split("\n") if x.strip()]
-        grams = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
-        again = {j for k in range(len(words) - 7) if grams[tuple(words[k : k + 8])] > 1 for j in range(k, k + 8)}
-        chars, symbols = sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>")
-        dup = len(lines) - len(set(lines))
-        value = {
-            "symbols_per_word": symbols / max(len(words), 1), "repeated_share": len(again) / max(len(words), 1), "dup_line_share": dup / max(len(lines), 1), "distinct_share": len(set(words)) / max(len(words), 1),
-            "upper_share": sum("A" <= c <= "Z" for c in t) / max(chars, 1), "punct_per_word": sum(t.count(c) for c in "!?.,;:") / max(len(words), 1), "mean_word_chars": chars / max(len(words), 1),
-            "pair_repeat_share": sum(a == b for a, b in zip(words, words[1:])) / max(len(words), 1), "words": float(len(words)),
-        }
-        verdict = rules.default
-        for r in rules.rules:
-            if all((value[quality_rules.RATIOS[k][0]] <= at) == most for k, most, at in r.tests):
-                verdict = r.outcome
-                break
-        failed = len(words) < 20 or 100 * len(again) > 30 * len(words)
-        assert (made[d.doc_id].base_failed, made[d.doc_id].kept) == (failed, not failed and verdict == 1)
+    made = {r.doc_id: (r.n_words, r.base_failed, r.kept) for r in queries.op4_quality_rules(spark, D).collect()}
+    assert made == {d.doc_id: judged(rules, d.text) for d in docs.collect()}
 
 
 def test_toxicity_of_long_and_empty_texts():

@@ -142,6 +142,42 @@ def test_archives(spark, monkeypatch):
     assert media.with_features(media.load(spark, media.store(docs.where("false")))).isEmpty()
 
 
+def test_a_damaged_member_is_tried_again_by_its_offset(spark, monkeypatch):
+    """Reads that fail come anew from the same offset; others aren't touched; what stays damaged raises."""
+    docs = spark.createDataFrame([(k, f"text {k} " * 9) for k in range(9)], "doc_id long, text string").coalesce(1)
+    folder = media.store(docs)
+    reader = media.MediaReader({"path": folder, "attempts": "3"})
+    (part,) = reader.partitions()
+    (archive, _, size), real, seeks = part.ranges[0], media.from_png, []
+
+    def flaky(image):
+        if len(seeks) < 2 and zlib.crc32(image) == bad:
+            seeks.append(1)
+            raise ValueError("a chunk of the PNG is damaged")
+        return real(image)
+
+    whole = [r for b in reader.read(part) for r in b.to_pylist()]
+    bad = zlib.crc32(whole[4]["media"])
+    monkeypatch.setattr(media, "from_png", flaky)
+    monkeypatch.setattr(media.time, "sleep", lambda s: None)
+    assert [r for b in reader.read(part) for r in b.to_pylist()] == whole and len(seeks) == 2
+    path = os.path.join(folder.removeprefix("file://"), archive)
+    raw = bytearray(open(path, "rb").read())
+    at = bytes(raw).index(whole[4]["media"])
+    raw[at + 60] ^= 1
+    open(path, "wb").write(raw)
+    for start, end in ((0, at - 512), (at + 1, size)):  # what lies around it is still read
+        assert [r for b in reader.members(archive, start, end) for r in b.to_pylist()] == (whole[:4] if not start else whole[5:])
+    with pytest.raises(ValueError):
+        list(reader.read(part))
+
+
+def test_planned_ranges():
+    sizes = [("a", 25), ("b", 0), ("c", 10)]
+    assert media.planned(sizes, 10, 100) == [[("a", 0, 10)], [("a", 10, 20)], [("a", 20, 25), ("c", 0, 5)], [("c", 5, 10)]]
+    assert media.planned(sizes, 10, 2) == [[("a", 0, 18)], [("a", 18, 25), ("c", 0, 10)]] and media.planned([], 10, 2) == []
+
+
 def test_media_query(spark):
     rows = {r.doc_id: r for r in queries.op7_media(spark, D).collect()}
     for d in spark.read.parquet(f"{D}/documents.parquet").collect():
@@ -189,6 +225,15 @@ def test_same_as_sql(spark, name):
     assert sorted(map(repr, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(repr, (tuple(x[other.columns.index(c)] for c in cols) for x in other.fetchall())))
 
 
+def test_targets_out_of_reach():
+    """Shares are reached where tokens allow; where not, the gap is told."""
+    plan = mixing.Plan(sources={"a": 0.5, "*": 0.5}, languages={"en": 1.0}, topics={"*": 1.0}, rules=(), fraction=0.5)
+    made = {x[:2]: x[2:] for x in mixing.gaps({("a", "en", "*"): 600, ("*", "en", "*"): 400}, plan)}
+    assert made[("source", "a")] == pytest.approx((0.5, 0.5)) and made[("language", "en")] == pytest.approx((1, 1))
+    short = {x[:2]: x[2:] for x in mixing.gaps({("a", "en", "*"): 10, ("*", "en", "*"): 990}, plan)}
+    assert short[("source", "a")][0] == 0.5 and short[("source", "a")][1] < 0.05 and mixing.gaps({}, plan) == []
+
+
 def test_licences(spark):
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "licensed under CC BY-SA 4.0": "CC-BY-SA", "Our code is licensed under the Mozilla Public License, version 2.0, as ever": "MPL-2.0", "This program is distributed under the terms of the GPL version 3.": "GPL", "Distributed under the MIT terms.": "MIT", "Released under the GNU AGPL v3.": "AGPL", "BSD 3-Clause": "BSD", "Released under GPL v3.": "GPL", "Distributed under the terms of the GNU GPL": "GPL", "Apache-2.0": "Apache-2.0"}
     clean = ["She got her driving licence yesterday.", "All rights reserved. Copyright 2021 Someone", "Permission was given by the council.", "no such words here", "", "Er kam mit dem Zug und ging mit ihr.", "He went to MIT to study."]

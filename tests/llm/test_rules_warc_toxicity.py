@@ -117,6 +117,20 @@ def test_reader_in_pieces_and_damage():
         warc.parse(raw[:-1])
 
 
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_a_shortened_archive_and_either_join(spark, monkeypatch, sent):
+    monkeypatch.setattr(warc, "SENT", sent)
+    df = spark.createDataFrame([(k, "u", f"page {k // 3}") for k in range(30)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.archive(df)
+    assert {(r.page_id, r.refers_to) for r in warc.read(spark, manifest).collect()} == {(k, k - k % 3 if k % 3 else None) for k in range(30)}
+    path = manifest.first().path.removeprefix("file://")
+    raw = open(path, "rb").read()
+    last = raw.rindex(b"\x1f\x8b\x08")
+    open(path, "wb").write(raw[:last])  # at a member's end, so that gzip sees nothing
+    with pytest.raises(Exception, match="29 of its 30 records"):
+        warc.read(spark, manifest).collect()
+
+
 def test_warc_query(spark):
     pages = spark.read.parquet(f"{D}/pages.parquet").collect()
     first = {}
