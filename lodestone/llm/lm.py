@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +43,14 @@ from pyspark.sql import functions as F
 
 from .common import column, release, small_batches, stored
 
-#: A token that no word can be, and the hash that stands before a text's first token.
-END, START = b" ", xxhash.xxh64_intdigest(b"\n", 8)
-HEAD, ARCS, DISCOUNT, LEAST = 1_000_000, 500_000, 0.75, 5
+#: Tokens that no word can be: the end of a text, and what stands before its first token, with its hash.
+END, _START = b" ", b"\n"
+START = xxhash.xxh64_intdigest(_START, 8)
+HEAD, ARCS, DISCOUNT, LEAST = 1_000_000, 3_000_000, 0.75, 5
 #: Bits of the maps of pairs.
 BITS = 27
 #: Words that a worker remembers, and tokens that are counted together.
 WORDS, HELD = 300_000, 2_000_000
-#: Words of the head have numbers of so many bits.
-WORD = 24
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -195,25 +195,28 @@ def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """table: (n, key, p, s, c, low, more): n 0 the start, 1 tokens, 2 pairs of p and s; low is log P of a token, more what
-    its walk adds to that. total, distinct: of training tokens. words, pairs: counts from which they are in the head."""
+    """table: (n, key, c, low, more): n 0 the start, 1 tokens, 2 pairs; low is log P of a token, more what a walk adds to that.
+    total, distinct: of training tokens. words, pairs: counts from which they are in the head. frequent, tail: bitmaps of
+    all kept pairs, and of those outside of the head."""
 
     table: DataFrame
     total: int
     distinct: int
     words: int
     pairs: int
-    bitmap: np.ndarray
+    frequent: np.ndarray
+    tail: np.ndarray
 
 
 def fit(docs: DataFrame, train: Column | None = None, text: str = "text", head: int = HEAD, arcs: int = ARCS, least: int = LEAST, discount: float = DISCOUNT, bits: int = BITS) -> Model:
     """The model of the documents for which ``train`` is true (all by default)."""
-    if not 0 < head < (1 << WORD) - 1 or not 13 <= bits <= 30:
-        raise ValueError("head must be under 2 ** 24 - 1, and bits between 13 and 30")
+    if not 13 <= bits <= 30:
+        raise ValueError("bits must be between 13 and 30")
     spark = docs.sparkSession
     small_batches(spark)
     source = (docs if train is None else docs.where(train)).select(F.col(text).alias("text"))
-    sent = spark.sparkContext.broadcast(frequent_pairs(source, least, bits))
+    frequent = frequent_pairs(source, least, bits)
+    sent = spark.sparkContext.broadcast(frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
@@ -235,9 +238,8 @@ def fit(docs: DataFrame, train: Column | None = None, text: str = "text", head:
     by_first = states.where("free is not null").select(F.col("key").alias("p"), F.col("c").alias("seen"), "free")
     by_last = states.where("n = 1").select(F.col("key").alias("s"), "prob")
     more = F.log10((F.col("c") - F.lit(discount)) / F.col("seen") + F.col("free") * F.col("prob")) - F.log10("free") - F.log10("prob")
-    steps = twos.join(by_first, "p").join(by_last, "s").select(F.lit(2).cast("byte").alias("n"), F.xxhash64("p", "s").alias("key"), "p", "s", "c", F.lit(None).cast("double").alias("low"), more.alias("more"))
-    none = F.lit(None).cast("long")
-    nodes = states.select("n", "key", none.alias("p"), none.alias("s"), "c", F.log10("prob").alias("low"), F.coalesce(F.log10("free"), F.lit(0.0)).alias("more"))
+    steps = twos.join(by_first, "p").join(by_last, "s").select(F.lit(2).cast("byte").alias("n"), F.xxhash64("p", "s").alias("key"), "c", F.lit(None).cast("double").alias("low"), more.alias("more"))
+    nodes = states.select("n", "key", "c", F.log10("prob").alias("low"), F.coalesce(F.log10("free"), F.lit(0.0)).alias("more"))
     table = stored(nodes.unionByName(steps), "lm-model")
     words, pairs = _least_count(table, 1, head), _least_count(table, 2, arcs)
     place = F.shiftrightunsigned("key", 64 - bits) + 1
@@ -248,7 +250,7 @@ def fit(docs: DataFrame, train: Column | None = None, text: str = "text", head:
     for at, raw in parts:
         made = np.frombuffer(bytes(raw), np.uint8)
         bitmap[(at - 1) << 12 :][: len(made)] = made[: len(bitmap) - ((at - 1) << 12)]
-    return Model(table, int(total), int(distinct), words, pairs, bitmap)
+    return Model(table, int(total), int(distinct), words, pairs, frequent, bitmap)
 
 
 def _least_count(table: DataFrame, n: int, most: int) -> int:
@@ -258,55 +260,51 @@ def _least_count(table: DataFrame, n: int, most: int) -> int:
 
 
 class Automaton:
-    """The head: numbers of words, log P and log free by number, the start's after the words'; logs of arcs by both numbers."""
-
-    def __init__(self, keys: np.ndarray, low: np.ndarray, more: np.ndarray, start: float, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        order = np.argsort(keys)
-        self.keys, self.low, self.more = keys[order], low[order], np.append(more[order], start)
-        p, s, log = pairs
-        p, s = np.where(p == _signed(START), len(keys), self.number(p)), self.number(s)
-        arcs = (p << WORD) | s
-        order = np.argsort(arcs)
-        self.arcs, self.logs = arcs[order], (log + self.more[p] + self.low[s])[order]
+    """The head: log P and log free (the failure arc's weight) of words, and what arcs add, by sorted hashes."""
+
+    def __init__(self, keys: np.ndarray, low: np.ndarray, more: np.ndarray, start: float, arcs: np.ndarray, gains: np.ndarray, frequent: np.ndarray):
+        self.keys, self.low, self.more, self.start = keys, low, more, start
+        self.arcs, self.gains, self.frequent = arcs, gains, frequent
         self.forget()
 
     def forget(self) -> None:
-        """Tokens known so far: a slot for each, 0 the start; key and number of each slot, -1 outside of the head."""
-        self.slots: dict[bytes, int] = {}
-        self.slot_keys, self.codes = np.array([_signed(START)], np.int64), np.array([len(self.keys)], np.int64)
-
-    def number(self, keys: np.ndarray) -> np.ndarray:
-        """Numbers of words of the head, -1 for others."""
-        return _find(self.keys, keys)
+        """What is known of tokens so far, by slot; slot 0 is the start: hash, whether it is in the head, log P, log free."""
+        self.slots: dict[bytes, int] = {_START: 0}
+        self.slot_keys, self.inside = np.array([_signed(START)], np.int64), np.array([True])
+        self.slot_low, self.slot_more = np.zeros(1), np.array([self.start])
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.slots) > WORDS:
             self.forget()
         if new := list(words.difference(self.slots)):
             keys = np.fromiter(map(key_of, new), np.int64, len(new))
-            self.slots.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-            self.slot_keys, self.codes = np.concatenate([self.slot_keys, keys]), np.concatenate([self.codes, self.number(keys)])
+            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
+            at = _find(self.keys, keys)
+            value = lambda x: np.where(at >= 0, np.append(x, 0.0)[at], 0.0)
+            self.slot_keys, self.inside = np.concatenate([self.slot_keys, keys]), np.concatenate([self.inside, at >= 0])
+            self.slot_low, self.slot_more = np.concatenate([self.slot_low, value(self.low)]), np.concatenate([self.slot_more, value(self.more)])
 
     def walk(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-        """By text: tokens of the head, their base score, the walk's logarithm; owners and keys of what isn't in the head.
+        """By text, begun by the start: tokens of the head, their base score, the walk's logarithm; owners and hashes of tokens outside, and of pairs without an arc.
 
-        The state before a token is the number of the one before; where no arc leads on, the failure arc does.
+        The state before a token is the token before it. A step weighs what the failure arc and the token weigh, and
+        if an arc leads on, what this is above that.
         """
         self.learn(set().union(*texts))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        flat = np.fromiter((x for t in texts for x in (0, *map(self.slots.__getitem__, t))), np.int64, int(sizes.sum()) + len(texts))
-        owner = np.repeat(np.arange(len(texts)), sizes + 1)[1:]
+        flat = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(texts)), sizes)[1:]
         step = flat[1:] > 0
         state, word, owner = flat[:-1][step], flat[1:][step], owner[step]
-        p, s = self.codes[state], self.codes[word]
-        inside = s >= 0
-        low = np.where(inside, np.append(self.low, 0.0)[s], 0.0)
-        arc = _find(self.arcs, np.where((p >= 0) & inside, (p << WORD) | s, -1))
-        logs = np.where(arc >= 0, np.append(self.logs, 0.0)[arc], np.where(p >= 0, self.more[p], 0.0) + low)
+        inside, low = self.inside[word], self.slot_low[word]
+        pairs = pair_keys(self.slot_keys[state], self.slot_keys[word])
+        maybe = np.flatnonzero(_marked(self.frequent, pairs))
+        arc = _find(self.arcs, pairs[maybe])
+        logs = low + self.slot_more[state]
+        logs[maybe[arc >= 0]] += self.gains[arc[arc >= 0]]
+        failed = maybe[arc < 0]
         by = lambda x: np.bincount(owner, x, len(texts))
-        rare, failed = ~inside, arc < 0
-        pairs = pair_keys(self.slot_keys[state[failed]], self.slot_keys[word[failed]])
-        return by(inside).astype(np.int64), by(low), by(logs), owner[rare], self.slot_keys[word[rare]], owner[failed], pairs
+        return by(inside).astype(np.int64), by(low), by(logs), owner[~inside], self.slot_keys[word[~inside]], owner[failed], pairs[failed]
 
 
 def _find(of: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -329,9 +327,10 @@ def built(number: int, sent) -> Automaton:
 
 
 def _arrays(df: DataFrame, *names: str) -> tuple[np.ndarray, ...]:
-    """Columns of a table of bounded size."""
+    """Columns of a table of bounded size, in the order of the first one."""
     found = df.select(*names).toArrow()
-    return tuple(found.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in names)
+    order = np.argsort(found.column(names[0]).to_numpy())
+    return tuple(found.column(c).to_numpy()[order] for c in names)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -345,15 +344,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     table, total = model.table, model.total
     floor = -math.log10(total + model.distinct + 1)
     words = _arrays(table.where((F.col("n") == 1) & (F.col("c") >= model.words)), "key", "low", "more")
-    # An arc whose words aren't in the head, which only very small bounds can leave out, is looked up.
-    top = table.where((F.col("n") == 2) & (F.col("c") >= model.pairs))
-    pairs = _arrays(top, "p", "s", "more")
-    here = np.isin(pairs[1], words[0]) & (np.isin(pairs[0], words[0]) | (pairs[0] == _signed(START)))
-    bitmap = model.bitmap.copy()
-    for k in (pair_keys(pairs[0][~here], pairs[1][~here]).view(np.uint64) >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)).tolist():
-        bitmap[k >> 3] |= 1 << (k & 7)
+    arcs = _arrays(table.where((F.col("n") == 2) & (F.col("c") >= model.pairs)), "key", "more")
     begun = table.where("n = 0").select("more").first()
-    sent = spark.sparkContext.broadcast((*words, begun[0] if begun else 0.0, tuple(x[here] for x in pairs), bitmap))
+    sent = spark.sparkContext.broadcast((*words, begun[0] if begun else 0.0, *arcs, model.frequent, model.tail))
     number = sent._jbroadcast.id()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,12 +361,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             while k < len(every):  # about a million characters at a time, so that the steps don't pile up
                 found, chars, first = [], 0, k
                 while k < len(every) and chars < 2_000_000:
-                    found.append(tokens(every[k]))
+                    found.append([_START, *tokens(every[k])])
                     chars += len(every[k] or "")
                     k += 1
                 known, low, logs, of, rare, at, pairs = automaton.walk(found)
                 hit = _marked(bitmap, pairs)
-                cols = [pa.array(np.arange(row, row + len(found))), name.slice(first, len(found)), pa.array([len(t) for t in found], pa.int64()), pa.array(known), pa.array(low), pa.array(logs), lists(len(found), of, rare), lists(len(found), at[hit], pairs[hit])]
+                cols = [pa.array(np.arange(row, row + len(found))), name.slice(first, len(found)), pa.array([len(t) - 1 for t in found], pa.int64()), pa.array(known), pa.array(low), pa.array(logs), lists(len(found), of, rare), lists(len(found), at[hit], pairs[hit])]
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "key", "n", "known", "low", "logp", "rare", "pairs"])
                 row += len(found)
         automaton.forget()
