@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ _OPEN, _CLOSE, _ENDS = "([{", ")]}", "?!;:."
 #: Runs of characters that are treated alike, and marks one by one (of which quotes and commas just go).
 _RUNS = re.compile(r"(?P<plain>[^\x00-\x20\x7f-\U0010ffff()\[\]{}\-?!;:.\"',]+)|(?P<wide>[\x80-\U0010ffff]+)|(?P<blank>[\x00-\x20\x7f]+)|(?P<mark>.)")
 _LETTER = re.compile("[A-Za-z0-9]")
+#: Brackets, and blanks that ``str.split`` and this module don't take alike.
+_KNOTTY = re.compile(r"[()\[\]{}\x00-\x08\x0e-\x1f\x7f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def ascii_name(ch: str) -> str:
@@ -67,6 +70,9 @@ def clean_text(dirty: str | None, stemmer=stem) -> str:
     were closed last come first. Tokens without a letter or digit go, the others are stemmed.
     """
     text = dirty or ""
+    if not _KNOTTY.search(text):
+        # Without brackets each word is written by itself; most words of a corpus were seen before.
+        return _finished([" ".join(map(_written, text.split()))], stemmer)
     open_: list[list[str]] = [[]]
     done: list[str] = []
     glued = False
@@ -79,9 +85,7 @@ def clean_text(dirty: str | None, stemmer=stem) -> str:
             glued = glued or m.end() < size and text[m.end()] in _OPEN
             continue
         if m.lastgroup == "wide":
-            for ch in run:
-                name = SYMBOLS.get(ch)
-                here.append(name if name is not None and len(name) < 2 else f"{{{ascii_name(ch) if name is None else name}}}")
+            here += map(_named, run)
             continue
         after = text[m.end()] if m.end() < size else "\n"
         if m.lastgroup == "blank":
@@ -105,8 +109,34 @@ def clean_text(dirty: str | None, stemmer=stem) -> str:
             here.append(" . ")
     while open_:
         done.insert(0, "".join(open_.pop()))
+    return _finished(done, stemmer)
+
+
+@lru_cache(maxsize=200_000)
+def _written(word: str) -> str:
+    """A word of a text without brackets, its symbols named, its hyphens joined, and a full stop by itself after it."""
+    out = []
+    for m in _RUNS.finditer(word):
+        if m.lastgroup == "plain":
+            out.append(m[0].lower())
+        elif m.lastgroup == "wide":
+            out += map(_named, m[0])
+        elif m[0] == "-":
+            out.append("_")
+        elif m[0] in _ENDS and m.end() == len(word):
+            out.append(" . ")
+    return "".join(out)
+
+
+def _named(ch: str) -> str:
+    name = SYMBOLS.get(ch)
+    return name if name is not None and len(name) < 2 else f"{{{ascii_name(ch) if name is None else name}}}"
+
+
+def _finished(segments: list[str], stemmer) -> str:
+    """Segments as sentences, without tokens that have no letter or digit, in stems."""
     words: list[str] = []
-    for segment in done:
+    for segment in segments:
         if _informs(segment):
             words += [*segment.lstrip(" _").rstrip(" _.").split(), "."]
     out: list[str] = []

@@ -53,50 +53,53 @@ def report(scores: DataFrame, above: bool = False) -> DataFrame:
     return auc(points).join(listed, "metric").select("metric", "auc", F.transform("l", lambda p: F.struct(p["x"], p["y"])).alias("points"))
 
 
-def random_search(scores: DataFrame, trials: int = 2_000, batch: int = 200, seed: int = 1, swapped: bool = False) -> list[tuple[str, float, float, float, float]]:
+#: Rows of scores up to which each candidate's area is exact; more are counted in bins.
+EXACT, BINS = 200_000, 4096
+
+
+def _areas(x: np.ndarray, y: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """The exact area under the curve of each candidate (coefs, exponents) over scaled scores x and classes y."""
+    pos, neg = int(y.sum()), int(len(y) - y.sum())
+    out = np.zeros(len(tried))
+    for k, (coef, power) in enumerate(tried):
+        s = (coef * np.nan_to_num(np.minimum(x**power, 1e6))).sum(axis=1)
+        values, at, n = np.unique(s, return_inverse=True, return_counts=True)
+        rank = np.cumsum(n) - (n - 1) / 2  # ties share the middle of their ranks
+        out[k] = (rank[at][y == 1].sum() - pos * (pos + 1) / 2) / max(pos * neg, 1)
+    return out
+
+
+def random_search(scores: DataFrame, trials: int = 100_000, batch: int = 2_000, seed: int = 1, swapped: bool = False, exact: int = EXACT) -> list[tuple[str, float, float, float, float]]:
     """Parameters (metric, coef, exponent, min, range) of the best area found.
 
-    Coefficients come from [-1, 1] and exponents from [-1, 3]; after an improvement only the
-    neighbourhood of the best is searched, which shrinks with each batch that finds nothing. Scores of one
-    query lie in one row; each partition counts, for a whole batch of candidates, the positives
-    and negatives in a fixed grid of score bins, and only these counts reach the driver.
+    Coefficients come from [-1, 1] and exponents from [-1, 3]; after an improvement only the neighbourhood of the best
+    is searched, which shrinks with each batch that finds nothing. Scores of one query lie in one row; a metric that
+    it lacks adds nothing. Up to ``exact`` rows are broadcast, candidates are spread over the tasks, and their
+    areas are exact. With more rows, rows are spread, and each partition counts the positives and
+    negatives of a batch of candidates in ``BINS`` bins; only these counts reach the driver.
     """
     limits = {m: (lo, r) for m, lo, r in ranges(scores).orderBy("metric").collect()}
     names = sorted(limits)
     if not names:
         raise ValueError("no scores")
+    spark = scores.sparkSession
     share = lambda m: F.lit(0.0) if not limits[m][1] else (F.col(m) - limits[m][0]) / limits[m][1]
-    wide = scores.groupBy("name", "positive").pivot("metric", names).agg(F.first("score")).na.drop()
+    wide = scores.groupBy("name", "positive").pivot("metric", names).agg(F.first("score"))
     wide = wide.select(F.col("positive").cast("double").alias("y"), *(share(m).alias(f"x{k}") for k, m in enumerate(names))).cache()
-    rng, bins, n = np.random.default_rng(seed), 4096, len(names)
-    best, centre, idle = -1.0, None, 0
-    result = np.zeros((2, n))
+    rng, n = np.random.default_rng(seed), len(names)
+
+    def sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return np.maximum(pdf[[f"x{k}" for k in range(n)]].to_numpy(), 1e-9), pdf["y"].to_numpy().astype(int)
+
+    small = spark.sparkContext.broadcast(sides(wide.toPandas())) if wide.count() <= exact else None
+    centre, idle, best, result = None, 0, -1.0, np.zeros((2, n))
     for _ in range(max(1, trials // batch)):
         low, high = np.array([[-1.0] * n, [-1.0] * n]), np.array([[1.0] * n, [3.0] * n])
         if centre is not None:
             reach = 1 / max(1, idle)
             low, high = np.maximum(low, centre - reach), np.minimum(high, centre + reach)
         tried = rng.uniform(low, high, (batch, 2, n))
-
-        def count(batches, tried=tried):
-            hits = np.zeros((len(tried), bins, 2), np.int64)
-            for pdf in batches:
-                x = np.maximum(pdf[[f"x{k}" for k in range(n)]].to_numpy(), 1e-9)
-                y = pdf["y"].to_numpy().astype(int)
-                for k, (coef, power) in enumerate(tried):
-                    s = (coef * np.minimum(x**power, 1e6)).sum(axis=1)
-                    at = ((np.arctan(s) / np.pi + 0.5) * (bins - 1)).astype(int)
-                    np.add.at(hits[k], (at, y), 1)
-            k, b, y = np.nonzero(hits)
-            yield pd.DataFrame({"k": k, "b": b, "y": y, "c": hits[k, b, y]})
-
-        found = wide.mapInPandas(count, "k long, b long, y long, c long").groupBy("k", "b", "y").agg(F.sum("c").alias("c")).collect()
-        hits = np.zeros((batch, bins, 2))
-        for k, b, y, c in found:
-            hits[k, b, y] = c
-        neg, pos = hits[:, ::-1, 0], hits[:, ::-1, 1]
-        tpr = np.cumsum(pos, axis=1) / np.maximum(pos.sum(axis=1, keepdims=True), 1)
-        area = (neg * (tpr - pos / np.maximum(pos.sum(axis=1, keepdims=True), 1) / 2)).sum(axis=1) / np.maximum(neg.sum(axis=1), 1)
+        area = _exact_areas(spark, small, tried) if small is not None else _binned_areas(wide, sides, tried)
         area = 1 - area if swapped else area
         if area[k := int(area.argmax())] > best:
             best, centre, idle, result = float(area[k]), tried[k], 0, tried[k]
@@ -104,3 +107,38 @@ def random_search(scores: DataFrame, trials: int = 2_000, batch: int = 200, seed
             idle += 1
     wide.unpersist()
     return [(m, float(result[0][k]), float(result[1][k]), float(limits[m][0]), float(limits[m][1])) for k, m in enumerate(names)]
+
+
+def _exact_areas(spark, small, tried: np.ndarray) -> np.ndarray:
+    parts = max(1, min(len(tried), spark.sparkContext.defaultParallelism))
+
+    def judge(batches):
+        for pdf in batches:
+            for k in pdf["id"]:
+                at = np.arange(k, len(tried), parts)
+                yield pd.DataFrame({"k": at, "area": _areas(*small.value, tried[at])})
+
+    out = np.zeros(len(tried))
+    for k, area in spark.range(0, parts, 1, parts).mapInPandas(judge, "k long, area double").collect():
+        out[k] = area
+    return out
+
+
+def _binned_areas(wide: DataFrame, sides, tried: np.ndarray) -> np.ndarray:
+    def count(batches):
+        for pdf in batches:
+            x, y = sides(pdf)
+            for k, (coef, power) in enumerate(tried):
+                s = (coef * np.nan_to_num(np.minimum(x**power, 1e6))).sum(axis=1)
+                at = ((np.arctan(s) / np.pi + 0.5) * (BINS - 1)).astype(int)
+                hits = np.bincount(at * 2 + y, minlength=2 * BINS)
+                b = np.flatnonzero(hits)
+                yield pd.DataFrame({"k": k, "b": b, "c": hits[b]})
+
+    hits = np.zeros((len(tried), 2 * BINS))
+    for k, b, c in wide.mapInPandas(count, "k long, b long, c long").groupBy("k", "b").agg(F.sum("c").alias("c")).collect():
+        hits[k, b] = c
+    neg, pos = (hits.reshape(len(tried), BINS, 2)[:, ::-1, k] for k in (0, 1))
+    total = np.maximum(pos.sum(axis=1, keepdims=True), 1)
+    tpr = np.cumsum(pos, axis=1) / total
+    return (neg * (tpr - pos / total / 2)).sum(axis=1) / np.maximum(neg.sum(axis=1), 1)

@@ -791,7 +791,7 @@ def poly_multiple(s, d):
 
 @query()
 def random_search_params(s, d):
-    return s.createDataFrame(training.random_search(scores_of(s, d), trials=400), "metric string, coef double, exponent double, min double, range double")
+    return s.createDataFrame(training.random_search(scores_of(s, d)), "metric string, coef double, exponent double, min double, range double")
 
 
 # --- whole queries -----------------------------------------------------------------------------

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def session(master: str = "local[*]", **conf: str) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName("lodestone")
+def session(master: str | None = "local[*]", **conf: str) -> SparkSession:
+    """A session of these settings; no master: that of whoever submits."""
+    builder = SparkSession.builder.appName("lodestone")
+    builder = builder.master(master) if master else builder
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
     return builder.config(map={**settings, **conf}).getOrCreate()
 

@@ -119,3 +119,39 @@ def test_build_and_ask(spark):
     with pytest.raises(ValueError, match="Failed to find: nothing"):
         hypothesis.ask(["heart", "nothing"], made["network"], made["documents"], made["vectors"])
     assert found.path.select(F.max("leg")).first()[0] == 0
+
+
+def test_numbered_lines_of_several_files_and_splits(spark, tmp_path):
+    """Numbers follow the files' names and lines, whatever the sizes of files and splits are."""
+    sizes = [3, 400, 1, 90]
+    n = 0
+    for k, size in enumerate(sizes):
+        (tmp_path / f"part-{k}").write_text("".join(f"line{n + j:05d}\n" for j in range(size)))
+        n += size
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("700b", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            assert sorted(tuple(r) for r in readers.label_file(spark, str(tmp_path)).collect()) == [(k, f"line{k:05d}") for k in range(n)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_strict_vectors_and_cut(spark, tmp_path):
+    v = spark.createDataFrame([("a", [1.0])], "label string, vec array<float>")
+    asked = spark.createDataFrame([("a",), ("b",)], "label string")
+    assert readers.vectors_of(v, asked).count() == 1
+    with pytest.raises(KeyError, match="no vector of b"):
+        readers.vectors_of(v, asked, strict=True)
+    (tmp_path / "c").write_text("C1|x|A text. With more. And more\nC2|y|None at all.\n")
+    assert sorted(tuple(r) for r in readers.concept_texts(spark, str(tmp_path / "c"), 3, cut=True).collect()) == [("C1", "A text"), ("C2", "None at all.")]
+    assert readers.concept_texts(spark, str(tmp_path / "c"), 3).where("label = 'C1'").first().text == "A text. With more. And more"
+
+
+def test_subword_vectors(spark):
+    from lodestone.operators import topics
+
+    known = spark.createDataFrame([("heart", [1.0, 0.0]), ("hearts", [0.0, 1.0]), ("skin", [5.0, 5.0])], "label string, vec array<float>")
+    asked = spark.createDataFrame([("heartz",), ("qq",), ("skin",)], "label string")
+    made = {r.label: r.vec for r in topics.subword_vectors(asked, known).collect()}
+    assert set(made) == {"heartz"} and 0 < made["heartz"][0] < 1 and sum(made["heartz"]) == pytest.approx(1, abs=1e-5)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,28 @@ def test_every_word_found_five_times_has_a_vector(spark):
     n = Counter(t for r in queries.docs_of(spark, d).collect() for t in r.tokens)
     made = {r.label: len(r.vec) for r in queries.word2vec_embeddings(spark, d).collect()}
     assert made == {w: 500 for w, c in n.items() if c >= 5}
+
+
+def test_exact_and_binned_areas_agree(spark):
+    from lodestone.operators import training
+
+    rng = np.random.default_rng(3)
+    x, y = rng.random((400, 2)), rng.integers(0, 2, 400)
+    tried = rng.uniform([[-1, -1], [-1, -1]], [[1, 1], [3, 3]], (20, 2, 2))
+    pairs = lambda s: np.mean([(a > b) + (a == b) / 2 for a in s[y == 1] for b in s[y == 0]])
+    want = [pairs((c * np.minimum(np.maximum(x, 1e-9) ** p, 1e6)).sum(axis=1)) for c, p in tried]
+    assert np.allclose(training._areas(np.maximum(x, 1e-9), y, tried), want)
+    wide = spark.createDataFrame([(float(b), *map(float, a)) for a, b in zip(x, y)], "y double, x0 double, x1 double")
+    sides = lambda pdf: (np.maximum(pdf[["x0", "x1"]].to_numpy(), 1e-9), pdf["y"].to_numpy().astype(int))
+    assert np.allclose(training._binned_areas(wide, sides, tried), want, atol=0.01)
+
+
+def test_search_finds_a_metric_that_tells_apart(spark):
+    from lodestone.operators import training
+
+    rng = np.random.default_rng(5)
+    rows = [(m, f"q{k}", k % 2 == 0, float(v)) for k in range(60) for m, v in (("good", k % 2 * -1 + 0.1 * rng.random()), ("noise", rng.random())) if (m, k) != ("noise", 7)]
+    scores = spark.createDataFrame(rows, "metric string, name string, positive boolean, score double")
+    for exact in (1000, 0):
+        found = {m: c * e for m, c, e, *_ in training.random_search(scores, trials=2000, batch=500, exact=exact)}
+        assert found["good"] > 0 and set(found) == {"good", "noise"}  # the term rises with the score
