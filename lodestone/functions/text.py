@@ -105,7 +105,8 @@ def topic_node_name(name: Column) -> Column:
     return F.regexp_replace(name, r"\*$", "")
 
 
-def _grams(words: str, sizes: Iterable[int]) -> Column:
+def grams(words: str, sizes: Iterable[int]) -> Column:
+    """All n-grams of these sizes, words joined by blanks."""
     return F.flatten(F.array(*(F.expr(f"if(size({words}) < {n}, array(), transform(sequence(1, size({words}) - {n - 1}), i -> array_join(slice({words}, i, {n}), ' ')))") for n in sizes)))
 
 
@@ -117,5 +118,5 @@ def mine_phrases(docs: DataFrame, phrases: DataFrame, doc: str = "doc", words: s
     sizes = sorted(r[0] for r in phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect() if r[0] and r[0] > 1)
     if not sizes:
         return docs.select(doc, F.lit("").alias("phrase"), F.lit(0).cast("long").alias("n")).where("false")
-    found = docs.select(doc, F.explode(_grams(words, sizes)).alias("phrase"))
+    found = docs.select(doc, F.explode(grams(words, sizes)).alias("phrase"))
     return found.join(phrases.select("phrase").distinct(), "phrase", "left_semi").groupBy(doc, "phrase").agg(F.count("*").alias("n"))

@@ -629,6 +629,21 @@ def eigenvector_path(s, d):
     return s.createDataFrame([(n, n in path, round(x, 6)) for n, x in sorted(score.items())], "node string, on_path boolean, score double")
 
 
+@query(f"""{_NET}, hops(s, node, path) as (select name, name, [name] from points where name in (select a from n2) union all
+        select s, n2.b, list_append(path, n2.b) from hops join n2 on n2.a = node where not list_contains(path, n2.b) and len(path) < 8),
+    short as (select s, node as t, path from hops where s <> node qualify len(path) = min(len(path)) over (partition by s, node)),
+    through as (select unnest(path[2:-2]) as node, 1.0 / count(*) over (partition by s, t) as part from short),
+    x(node, x, t) as (select distinct a, 1.0::double, 0 from n2 union all
+        select node, q / sqrt(sum(q * q) over ()), t + 1 from (select me.node, me.t, any_value(me.x) + sum(n2.w * o.x) as q from x as me join n2 on n2.a = me.node join x as o on o.node = n2.b where me.t < 200 group by all)),
+    way as (select unnest(path) as node from best)
+    select 'TopicWalkBtwn' as metric, round(coalesce((select sum(part) from through where node in (select node from way)), 0) / (select count(*) from way), 6) as score
+    union all select 'TopicWalkEigen', round((select avg(x) from x where t = 200 and node in (select node from way)), 6)""")
+def topic_walk_metrics(s, d):
+    edges, path = topic_net(s, d)
+    q = metrics.Query(None, None, None, edges, path)
+    return s.createDataFrame([(m, round(metrics.METRICS[m](q), 6)) for m in ("TopicWalkBtwn", "TopicWalkEigen")], "metric string, score double")
+
+
 @query(f"""{_NET}, u as (select distinct a, b from n2), deg as (select a, count(*) as k from u group by a), m as (select sum(k * (k - 1) // 2)::double as m from deg),
     t as (select count(*) as n from u as p join u as q on q.a = p.b join u as z on z.a = q.b and z.b = p.a)
     select round(n / 2.0 / m, 6) as coefficient from t, m""")
@@ -733,7 +748,7 @@ def papers_per_topic(s, d):
 @query()
 def lda_topics(s, d):
     docs = docs_of(s, d)
-    model, words = topics.train_lda(docs, k=5, rounds=3, min_df=5)
+    model, words = topics.train_lda(docs)
     return topics.view(model, words, 10)
 
 
@@ -742,6 +757,23 @@ def word2vec_embeddings(s, d):
     return topics.embed_words(docs_of(s, d), size=500, least=5)
 
 
+@query()
+def subword_embeddings(s, d):
+    """Vectors of words that are too rare for one of their own, from the character n-grams that they share with others."""
+    docs = docs_of(s, d)
+    known = checkpoint(topics.embed_words(docs, size=50, least=5))
+    return topics.subword_vectors(docs.select(F.explode("tokens").alias("label")).distinct(), known)
+
+
+@query()
+def learned_phrases(s, d):
+    """Phrases of the corpus that are like pairs of words of the benchmark."""
+    from .operators import phrases
+
+    bench = table(s, d, "benchmark").select(X.tokens(F.lower("text")).alias("t"))
+    return phrases.learn(docs_of(s, d), bench.select(F.explode(X.grams("t", (2,))).alias("phrase")))
+
+
 # --- scores ------------------------------------------------------------------------------------
 
 _SCORES = """sc as (select m as metric, doc_id, quality = 1 as positive, score from (select doc_id, quality, 'chars' as m, n_chars::double as score from documents join labels using (doc_id)

@@ -88,3 +88,21 @@ def test_phrases_of_any_length(spark):
     phrases = spark.createDataFrame([("a b",), ("b c d e f a",), ("z z",), ("a",)], "phrase string")
     assert {(r.phrase, r.n) for r in X.mine_phrases(docs, phrases).collect()} == {("a b", 2), ("b c d e f a", 1)}
     assert X.mine_phrases(docs, phrases.where("phrase = 'a'")).isEmpty()
+
+
+def test_learned_phrases(spark):
+    """Words that stand together are told from those that meet by chance, also where the list hasn't them."""
+    import random
+
+    from lodestone.operators import phrases
+
+    rng = random.Random(3)
+    good = ["heart attack", "blood cell count", "skin rash", "gene therapy", "bone marrow"]
+    rows = [(f"d{k}", " ".join(rng.choice(good) if rng.random() < 0.2 else f"w{int(rng.random() ** 2 * 40)}" for _ in range(60)).split()) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc string, tokens array<string>")
+    made = {r.phrase: r.quality for r in phrases.learn(docs, spark.createDataFrame([(x,) for x in good[:3]], "phrase string")).collect()}
+    assert all(made[x] > 0.5 for x in good) and sum(q < 0.5 for q in made.values()) > 0.9 * (len(made) - len(good))
+    found = phrases.segment(docs, spark.createDataFrame([(x, made[x]) for x in good], "phrase string, quality double"))
+    assert found.agg({"n": "sum"}).first()[0] == sum(" ".join(t).count(x) for _, t in rows for x in good)
+    with pytest.raises(ValueError):
+        phrases.learn(docs, spark.createDataFrame([("no such",)], "phrase string"))
