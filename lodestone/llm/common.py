@@ -10,7 +10,9 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,6 +157,16 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, bound: int
     return map_arrow(sample, over, f"doc_id {kind}, y int, features binary").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("features").alias("features"))
 
 
+def packed(a: np.ndarray) -> bytes:
+    """An array of four-byte numbers, byte by byte of all of them, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(raw: bytes, kind) -> np.ndarray:
+    a = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(a.reshape(4, -1).T).view(kind).ravel()
+
+
 def in_one_task(sample: DataFrame, fn: Callable[[list[tuple]], Iterator[pa.RecordBatch]], schema) -> list:
     """Rows that ``fn`` makes of all rows of a bounded sample, sorted by key, in one task of an executor.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_one_task, labelled_features, map_arrow, texts
+from .common import in_one_task, labelled_features, map_arrow, packed, texts, unpacked
 
 BITS, SIZE = 16, 16
 #: Words that a worker remembers, and characters of words that are hashed together.
@@ -199,14 +199,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     """
 
     def bags(found: list[str]) -> list[bytes]:
-        return [b"".join(x.tobytes() for x in bag(t)) for t in found]
+        made = map(bag, found)
+        return [packed(np.concatenate([np.diff(at, prepend=np.int32(0)), times.view(np.int32)])) for at, times in made]
 
     sample = labelled_features(docs, labels, label, bound, fold, bags, key, text)
 
     def learn(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if rows:
-            halves = lambda x: (np.frombuffer(x, np.int32, len(x) // 8), np.frombuffer(x, np.float32, len(x) // 8, len(x) // 2))
-            table, out, bias = train_bags([(halves(x), int(y)) for _, y, x in rows])
+            halves = lambda a: (np.cumsum(a[: len(a) // 2], dtype=np.int32), a[len(a) // 2 :].view(np.float32))
+            table, out, bias = train_bags([(halves(unpacked(x, np.int32)), int(y)) for _, y, x in rows])
             parts = (table @ (out[:, 1] - out[:, 0])).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([parts.tobytes()]), pa.array([float(bias[1] - bias[0])])], names=["parts", "bias"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import REMEMBERED as FORGOTTEN
-from .common import column, in_one_task, labelled_features, map_arrow, texts
+from .common import column, in_one_task, labelled_features, map_arrow, packed, texts, unpacked
 
 BITS = 20
 EMPTY_BIAS = -1.0
@@ -102,13 +102,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 2
     """
 
     def slots(found: list[str]) -> list[bytes]:
-        return [features(t).astype(np.int32).tobytes() for t in found]
+        return [packed(np.diff(features(t).astype(np.int32), prepend=np.int32(0))) for t in found]
 
     sample = labelled_features(docs, labels, label, bound, fold, slots, key, text)
 
     def learn(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
-        model = train_slots([(np.frombuffer(x, np.int32), int(y)) for _, y, x in rows])
+        model = train_slots([(np.cumsum(unpacked(x, np.int32), dtype=np.int32), int(y)) for _, y, x in rows])
         at = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[model.bias], model.weights[at]]))], names=["slot", "weight"])
 
