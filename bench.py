@@ -10,7 +10,7 @@ import time
 HEADLINE = [
     "tokenize_documents", "term_frequency", "doc_frequency", "inverse_tfidf_edges", "min_count_filter", "short_document_filter", "stopword_removal", "clean_text", "phrase_mining",
     "weighted_centroid", "topic_centroid", "knn_exact_l2", "knn_approximate", "relation_min_edges", "network_union", "shortest_path_len", "nearest_nodes", "paper_cloud",
-    "connected_components", "clustering_coefficient", "cloud_bag", "metric_topic_word", "papers_per_topic", "roc_points", "auc", "lda_topics", "hypothesis_path",
+    "connected_components", "clustering_coefficient", "cloud_bag", "metric_topic_word", "papers_per_topic", "roc_points", "auc", "hypothesis_path",
 ]
 
 

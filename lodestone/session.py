@@ -15,7 +15,7 @@ def session(master: str | None = "local[*]", **conf: str) -> SparkSession:
     """A session of these settings; no master: that of whoever submits."""
     builder = SparkSession.builder.appName("lodestone")
     builder = builder.master(master) if master else builder
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false", "spark.cleaner.referenceTracking.cleanCheckpoints": "true", "spark.ui.showConsoleProgress": "false"}
     return builder.config(map={**settings, **conf}).getOrCreate()
 
 
