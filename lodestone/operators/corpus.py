@@ -56,6 +56,10 @@ def frequent_words(docs: DataFrame, least: int) -> DataFrame:
     return docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("term")
 
 
+#: Lists that a document's rare words are split into, by hash, so that each token is sought in a short one.
+LISTS = 64
+
+
 def min_count_filter(docs: DataFrame, least: int, drop_periods: bool = False) -> DataFrame:
     """``docs`` without rarer words, in order; a document that loses all keeps an empty list.
 
@@ -65,9 +69,12 @@ def min_count_filter(docs: DataFrame, least: int, drop_periods: bool = False) ->
     counted = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     rare = counted.where(F.col("n") < least).select("term")
     key = F.struct(F.coalesce(F.col("doc"), F.lit("")).alias("d"), F.xxhash64("tokens").alias("h"))
-    hit = docs.select(key.alias("_key"), F.explode(F.array_distinct("tokens")).alias("term")).join(rare, "term", "left_semi").groupBy("_key").agg(F.collect_set("term").alias("_rare"))
-    met = docs.withColumn("_key", key).join(hit, "_key", "left")
-    kept = F.when(F.col("_rare").isNull(), F.col("tokens")).otherwise(F.filter("tokens", lambda t: ~F.array_contains(F.col("_rare"), t)))
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(LISTS)).cast("int")
+    hit = docs.select(key.alias("_key"), F.explode(F.array_distinct("tokens")).alias("term")).join(rare, "term", "left_semi")
+    hit = hit.groupBy("_key").agg(F.collect_set(F.struct(place(F.col("term")).alias("k"), "term")).alias("l"))
+    lists = F.transform(F.sequence(F.lit(0), F.lit(LISTS - 1)), lambda k: F.transform(F.filter("l", lambda x: x["k"] == k), lambda x: x["term"]))
+    met = docs.withColumn("_key", key).join(hit.select("_key", lists.alias("_rare")), "_key", "left")
+    kept = F.when(F.col("_rare").isNull(), F.col("tokens")).otherwise(F.filter("tokens", lambda t: ~F.array_contains(F.get("_rare", place(t)), t)))
     return met.select(*[(F.filter(kept, lambda t: t != ".") if drop_periods else kept).alias("tokens") if c == "tokens" else F.col(c) for c in docs.columns])
 
 
