@@ -40,8 +40,8 @@ def inverse_tfidf_edges(docs: DataFrame) -> DataFrame:
     of its own, also where labels repeat. There are at most twice as many terms that over half the documents have
     as the mean document has different ones, so these are broadcast, and leave before anything is joined.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc", "tokens")
-    rows = numbered.select("_row", "doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc", F.size("tokens").alias("len"), "tokens")
+    rows = numbered.select("_row", "doc", "len", F.explode("tokens").alias("term"))
     counts = rows.groupBy("_row", "doc", "len", "term").agg(F.count("*").alias("tf"))
     df = document_frequency(docs)
     n = docs.agg(F.count("*").alias("n"))
@@ -70,7 +70,9 @@ def min_count_filter(docs: DataFrame, least: int, drop_periods: bool = False) ->
     rare = counted.where(F.col("n") < least).select("term")
     key = F.struct(F.coalesce(F.col("doc"), F.lit("")).alias("d"), F.xxhash64("tokens").alias("h"))
     place = lambda t: F.pmod(F.xxhash64(t), F.lit(LISTS)).cast("int")
-    hit = docs.select(key.alias("_key"), F.explode(F.array_distinct("tokens")).alias("term")).join(rare, "term", "left_semi")
+    # The key is made before rows are spread, so once for each row.
+    spread = docs.select(key.alias("_key"), F.array_distinct("tokens").alias("t")).select("_key", F.explode("t").alias("term"))
+    hit = spread.join(rare, "term", "left_semi")
     hit = hit.groupBy("_key").agg(F.collect_set(F.struct(place(F.col("term")).alias("k"), "term")).alias("l"))
     lists = F.transform(F.sequence(F.lit(0), F.lit(LISTS - 1)), lambda k: F.transform(F.filter("l", lambda x: x["k"] == k), lambda x: x["term"]))
     met = docs.withColumn("_key", key).join(hit.select("_key", lists.alias("_rare")), "_key", "left")
