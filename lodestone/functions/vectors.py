@@ -19,6 +19,13 @@ def _zipped(a: Column, b: Column, f) -> Column:
     return F.when(same.isNull(), F.zip_with(doubles(a), doubles(b), f))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` as SQL's ``round`` gives it: halves of the double scaled by 10 ** digits go away from zero, and zero keeps its sign."""
+    by = F.lit(10.0**digits)
+    y = x.cast("double") * by
+    return F.when(F.abs(y) < F.lit(float("inf")), F.signum(y) * F.round(F.abs(y)) / by).otherwise(x.cast("double"))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 

@@ -41,7 +41,7 @@ _LABELLED = "n as (select case vec_id % 3 when 0 then 'PMID' || vec_id || '_1' w
 
 
 def _rounded(df):
-    return df.select("label", F.transform("vec", lambda x: F.round(x.cast("double"), 5)).alias("vec"))
+    return df.select("label", F.transform("vec", lambda x: r(x, 5) + 0.0).alias("vec"))
 
 
 @query(f"with {_LABELLED} select label, vec from n")

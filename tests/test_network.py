@@ -176,3 +176,29 @@ def test_metrics(spark):
     scores = spark.createDataFrame([("x", 1.0), ("y", 0.5), ("z", -1.0)], "metric string, score double")
     coef = spark.createDataFrame([("x", 0.5, 2.0, 0.0, 1.0), ("y", 2.0, 1.0, 0.0, 1.0), ("z", 9.0, 1.0, 0.0, 1.0)], "metric string, coef double, exponent double, min double, range double")
     assert metrics.polynomial(scores, coef).first().score == 1.5
+
+
+def test_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    from lodestone import queries
+
+    rng = random.Random(11)
+    x = [-1e-7, -0.0, 0.0, 4e-7, 5e-7, -5e-7, 0.285, 1.005e-4, 2.5, 1e300, float("inf"), None] + [k / 2e6 for k in range(-99, 99)] + [rng.uniform(-2, 2) for _ in range(500)]
+    want = [duckdb.execute("select round($1::double, 6)", [v]).fetchone()[0] for v in x]
+    found = spark.createDataFrame(list(enumerate(x)), "k int, x double").select("k", queries.r("x").alias("x")).orderBy("k").collect()
+    assert [repr(f.x) for f in found] == list(map(repr, want))  # the sign of zero counts
+
+
+def test_components_that_round_to_zero_have_the_sign_of_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestone import queries
+
+    rows = [(k, [-4e-7 if k % 2 else 3e-7, 0.5 - k], k % 3) for k in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        for name in ("estimate_vector", "plain_centroid", "vector_add_sub_scale"):
+            df = queries.QUERIES[name](spark, str(tmp_path))
+            assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, con.execute(queries.SQL[name]).fetchall()))
