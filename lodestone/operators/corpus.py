@@ -13,6 +13,19 @@ def documents(df: DataFrame, doc: Column, text: Column) -> DataFrame:
     return df.select(doc.alias("doc"), tokens(F.lower(text)).alias("tokens"))
 
 
+def bag(words: Column) -> Column:
+    """array<struct<term, tf>>: a list's words in order and how often it has them, made within the row by sorting it."""
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  (computes the value once)
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(upto(F.size(s)), lambda i: (i == 0) | ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+        ends = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(s))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (ends(at, k) - i).cast("bigint").alias("tf"))))
+
+    return let(F.array_sort(words), counted)
+
+
 def term_frequency(docs: DataFrame) -> DataFrame:
     """(doc, term, tf)."""
     return docs.select("doc", F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
@@ -23,6 +36,11 @@ def merge_bags(bags: DataFrame, by: str | None = None) -> DataFrame:
     return bags.groupBy(*[by] * bool(by), "term").agg(F.sum("tf").alias("tf"))
 
 
+def bag_by(docs: DataFrame, by: str) -> DataFrame:
+    """(by, term, tf): bags of documents (doc, tokens, by) added up, without one for each document."""
+    return docs.select(by, F.explode("tokens").alias("term")).groupBy(by, "term").agg(F.count("*").alias("tf"))
+
+
 def occurrences(bags: DataFrame) -> DataFrame:
     """(doc, term): each term of a document once."""
     return bags.select("doc", "term").distinct()
@@ -37,12 +55,11 @@ def inverse_tfidf_edges(docs: DataFrame) -> DataFrame:
     """(doc, term, weight): length / (tf * ln(N div df)); near words are rare ones that a document often has.
 
     The division is of integers, so a term that over half the documents have has no edge. Each row is a document
-    of its own, also where labels repeat. There are at most twice as many terms that over half the documents have
+    of its own, also where labels repeat, and is counted by itself, so only the join moves its terms. There are at most twice as many terms that over half the documents have
     as the mean document has different ones, so these are broadcast, and leave before anything is joined.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc", F.size("tokens").alias("len"), "tokens")
-    rows = numbered.select("_row", "doc", "len", F.explode("tokens").alias("term"))
-    counts = rows.groupBy("_row", "doc", "len", "term").agg(F.count("*").alias("tf"))
+    rows = docs.select("doc", F.size("tokens").alias("len"), F.explode(bag(F.col("tokens"))).alias("b"))
+    counts = rows.select("doc", "len", "b.term", "b.tf")
     df = document_frequency(docs)
     n = docs.agg(F.count("*").alias("n"))
     idf = df.join(F.broadcast(n)).select("term", F.expr("n div df").alias("ratio"))
@@ -141,11 +158,11 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 def cloud_bags(cloud: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
     """(pos, id, doc, bag): the cloud's documents in order; one that is missing has an empty bag.
 
-    Of documents with the same label that with the most tokens counts.
+    Documents with the same label are one. Each is counted after it has moved once.
     """
     named = cloud.join(labels, "id").select("pos", "id", F.col("label").alias("doc"))
-    bags = term_frequency(docs).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("bag"))
-    return named.join(bags, "doc", "left").select("pos", "id", "doc", F.coalesce("bag", F.array().cast("array<struct<term:string,tf:bigint>>")).alias("bag"))
+    bags = docs.select("doc", "tokens").groupBy("doc").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    return named.join(bags, "doc", "left").select("pos", "id", "doc", bag(F.coalesce("tokens", F.array().cast("array<string>"))).alias("bag"))
 
 
 def bag_lines(bags: DataFrame) -> DataFrame:

@@ -64,3 +64,41 @@ def test_cloud_bags(spark):
 def test_empty(spark):
     none = docs(spark, a="x").where("false")
     assert corpus.inverse_tfidf_edges(none).isEmpty() and corpus.min_count_filter(none, 2).isEmpty() and corpus.short_document_filter(none).isEmpty()
+
+
+def moved(df, what):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line and what in line]
+
+
+def test_bags_are_made_within_rows(spark):
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    lists = [[], ["a"], ["b", "a", "b"], None] + [[rng.choice("xyz\u00e9") * rng.randrange(1, 4) for _ in range(rng.randrange(80))] for _ in range(30)]
+    rows = spark.createDataFrame(list(enumerate(lists)), "k int, tokens array<string>").select("k", corpus.bag(F.col("tokens")).alias("bag")).collect()
+    for r in rows:
+        assert [tuple(b) for b in r.bag or []] == sorted(Counter(lists[r.k] or []).items())
+    d = spark.createDataFrame([("a", ["x", "y", "x"]), ("a", ["x"])], "doc string, tokens array<string>")
+    assert not moved(corpus.inverse_tfidf_edges(d), "_row")
+    cloud = spark.createDataFrame([(0, 7)], "pos long, id long")
+    bags = corpus.cloud_bags(cloud, spark.createDataFrame([(7, "a")], "id long, label string"), d)
+    assert [tuple(b) for b in bags.first().bag] == [("x", 3), ("y", 1)] and not moved(bags, "term")  # one label, one bag
+
+
+@pytest.mark.parametrize("ids", [[1, 2, 3], [1, 1, 2]])
+def test_bags_of_languages(spark, tmp_path, ids):
+    import duckdb
+
+    from lodestone import queries
+
+    rows = list(zip(ids, ["a b a", "b", "a c"], ["en", "de", "en"]))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries.merge_bags(spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = con.execute(queries.SQL["merge_bags"]).fetchall()
+    assert sorted(map(tuple, df.select("lang", "term", "tf").collect())) == sorted(want)
+    assert len(set(ids)) < 3 or not moved(df, "doc")
