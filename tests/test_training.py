@@ -86,3 +86,42 @@ def test_search_finds_a_metric_that_tells_apart(spark):
     for exact in (1000, 0):
         found = {m: c * e for m, c, e, *_ in training.random_search(scores, trials=2000, batch=500, exact=exact)}
         assert found["good"] > 0 and set(found) == {"good", "noise"}  # the term rises with the score
+
+
+def test_the_search_moves_a_row_for_each_partition_and_candidate(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(k % 3 == 0), float(v)) for k, v in enumerate(rng.random(3000))]
+    wide = spark.createDataFrame(rows, "y double, x0 double").repartition(3)
+    seen, old = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def sides(pdf):
+        return np.maximum(pdf[["x0"]].to_numpy(), 1e-9), pdf["y"].to_numpy().astype(int)
+
+    tried = rng.uniform([[-1], [-1]], [[1], [3]], (10, 2, 1))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # ten batches in each partition
+        tracker = spark.sparkContext._jsc.sc().statusStore()
+        lists = lambda: tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        before = {lists().apply(k).stageId() for k in range(lists().size())}
+        areas = training._binned_areas(wide, sides, tried)
+        now = lists()
+        seen = [now.apply(k).shuffleWriteRecords() for k in range(now.size()) if now.apply(k).stageId() not in before]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sum(seen) <= 3000 + 3 * 10
+    x, y = np.maximum(np.array([[v] for _, v in rows]), 1e-9), np.array([int(c) for c, _ in rows])
+    assert np.allclose(areas, training._areas(x, y, tried), atol=0.01)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_exact_areas_of_uneven_classes_and_ties(share):
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(1, 9, (200, 2)) / 8, (np.arange(200) < 200 * share).astype(int)
+    x[3, 1] = np.nan
+    tried = rng.uniform([[-1, -1], [-1, -1]], [[1, 1], [3, 3]], (5, 2, 2))
+    logs, known = training._logs(x)
+    for (c, p), area in zip(tried, training._areas(x, y, tried)):
+        s = training._scores(logs, known, c, p)
+        assert np.allclose(s, (c * np.nan_to_num(np.minimum(x**p, 1e6))).sum(axis=1))
+        gap = s[y == 1][:, None] - s[y == 0][None]
+        assert area == pytest.approx(((gap > 0) + (gap == 0) / 2).mean())
