@@ -24,8 +24,9 @@ class NoPath(ValueError):
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """(a, b, w) in both directions, without loops, each pair once."""
-    both = edges.select("a", "b", F.col("w").cast("double").alias("w")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("w").cast("double").alias("w")))
-    return both.where("a <> b").groupBy("a", "b").agg(F.min("w").alias("w"))
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # edges are made once, not for each direction
+    both = edges.where("a <> b").select(ends.alias("e"), F.col("w").cast("double").alias("w"))
+    return both.groupBy(F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.min("w").alias("w"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b, w) with a < b, each pair once."""
-    return symmetric(edges).where("a < b")
+    return edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.col("w").cast("double")).alias("w"))
 
 
 def incident(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -213,8 +214,8 @@ def clustering_coefficient(edges: DataFrame) -> DataFrame:
 
     Pairs of neighbours are made from the end of fewer edges only, so no hub is squared.
     """
-    und = undirected(edges).select("a", "b")
-    deg = degrees(edges)
+    und = checkpoint(undirected(edges).select("a", "b"))
+    deg = und.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     key = lambda n, d: F.struct(F.col(d), F.col(n))
     met = und.join(deg.select(F.col("node").alias("a"), F.col("degree").alias("da")), "a").join(deg.select(F.col("node").alias("b"), F.col("degree").alias("db")), "b")
     less = key("a", "da") < key("b", "db")

@@ -223,3 +223,11 @@ def test_single_precision_loses_no_neighbour(metric):
         want = sorted(np.round(d[np.isfinite(d)], 6))[:4]
         near = [sorted(made[made["label"] == names[r]]["dist"])]
         assert all(any(abs(w - n) < 1.1e-6 for n in near[0]) for w in want)
+
+
+def test_both_directions_come_from_one_reading(spark):
+    e = edges(spark, ("a", "b", 2.0), ("b", "a", 1.0), ("c", "c", 1.0))
+    assert sorted(map(tuple, graph.symmetric(e).collect())) == [("a", "b", 1.0), ("b", "a", 1.0)]
+    assert list(map(tuple, graph.undirected(e).collect())) == [("a", "b", 1.0)]
+    for df in (graph.symmetric(e), graph.undirected(e)):
+        assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
