@@ -125,3 +125,32 @@ def test_exact_areas_of_uneven_classes_and_ties(share):
         assert np.allclose(s, (c * np.nan_to_num(np.minimum(x**p, 1e6))).sum(axis=1))
         gap = s[y == 1][:, None] - s[y == 0][None]
         assert area == pytest.approx(((gap > 0) + (gap == 0) / 2).mean())
+
+
+def test_topics_do_not_depend_on_partitions(spark):
+    from lodestone import queries
+
+    docs = queries.docs_of(spark, "/root/testdata/sf0.001").limit(40)
+    seen = []
+    for n in (1, 3):
+        model, words = topics.train_lda(docs.repartition(n), k=3, rounds=2)
+        assert words.count() == docs.selectExpr("explode(tokens) as t").distinct().count()  # all words have weights
+        seen.append({(r.topic, r.rank): (r.word, r.cnt) for r in topics.view(model, words, 5).collect()})
+    assert len(seen[0]) == 15
+    assert {p: w for p, (w, _) in seen[0].items()} == {p: w for p, (w, _) in seen[1].items()}
+    assert all(seen[1][p][1] == pytest.approx(x, rel=0.001) for p, (_, x) in seen[0].items())
+
+
+def test_documents_are_inferred_to_the_fixed_point():
+    from lodestone.operators import lda
+
+    rng = np.random.default_rng(8)
+    alpha = np.array([0.3, 1.0, 0.7])
+    beta, counts = [rng.random((n, 3)).astype(np.float32) for n in (4, 30)], [rng.integers(1, 5, n).astype(np.float32) for n in (4, 30)]
+    made = lda.inferred(beta, counts, np.ones((2, 3)), alpha)[0]
+    for d in range(2):
+        g = np.ones(3)
+        for _ in range(5000):
+            e = np.exp(lda.psi(g) - lda.psi(g.sum()))
+            g = e * (counts[d] / (beta[d] @ e) @ beta[d]) + alpha
+        assert np.allclose(made[d], g, atol=0.1) and made[d].sum() == pytest.approx(alpha.sum() + counts[d].sum(), rel=1e-3)
