@@ -154,3 +154,27 @@ def test_documents_are_inferred_to_the_fixed_point():
             e = np.exp(lda.psi(g) - lda.psi(g.sum()))
             g = e * (counts[d] / (beta[d] @ e) @ beta[d]) + alpha
         assert np.allclose(made[d], g, atol=0.1) and made[d].sum() == pytest.approx(alpha.sum() + counts[d].sum(), rel=1e-3)
+
+
+def test_vectors_do_not_need_the_vocabulary_in_one_piece(spark, monkeypatch):
+    from lodestone.operators import skipgram
+
+    rng = np.random.default_rng(9)
+    rows = [(f"d{k}", [f"{'ab'[k % 2]}{x}" for x in rng.integers(0, 10, 60)] + ["rare"] * (k < 3)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc string, tokens array<string>")
+    monkeypatch.setattr(skipgram, "LEAST", 4_000)  # more parts than one
+    seen, old = [], skipgram.step
+    monkeypatch.setattr(skipgram, "step", lambda rows, n, work: seen.append(n) or old(rows, n, work))
+    made = {r.label: np.array(r.vec) for r in topics.embed_words(docs, size=16, least=5).collect()}
+    assert max(seen) > 1 and set(made) == {f"{c}{k}" for c in "ab" for k in range(10)}
+    near = lambda x, y: made[x] @ made[y] / np.linalg.norm(made[x]) / np.linalg.norm(made[y])
+    same = np.mean([near(f"{c}{i}", f"{c}{j}") for c in "ab" for i in range(10) for j in range(i)])
+    assert same > np.mean([near(f"a{i}", f"b{j}") for i in range(10) for j in range(10)]) + 0.1
+
+
+def test_each_pair_of_near_words_is_met_once():
+    from lodestone.operators import skipgram
+
+    near, ends = np.array([2, 1, 5, 1, 3, 1]), np.array([4, 6])
+    want = sorted((i, j) for i in range(6) for j in range(6) if i != j and abs(i - j) <= near[i] and (i < 4) == (j < 4))
+    assert sorted(zip(*map(np.ndarray.tolist, skipgram.near_pairs(ends, near)))) == want
