@@ -106,3 +106,11 @@ def test_learned_phrases(spark):
     assert found.agg({"n": "sum"}).first()[0] == sum(" ".join(t).count(x) for _, t in rows for x in good)
     with pytest.raises(ValueError):
         phrases.learn(docs, spark.createDataFrame([("no such",)], "phrase string"))
+
+
+def test_cleaning_bounds_its_batches(spark):
+    from lodestone import queries
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    queries.clean_text(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 8 << 20
