@@ -114,3 +114,23 @@ def test_cleaning_bounds_its_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     queries.clean_text(spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 8 << 20
+
+
+def test_gram_counts_against_brute_force(spark):
+    """Only n-grams whose pairs are all frequent are made, and their counts are those of all n-grams counted one by one."""
+    import random
+    from collections import Counter
+
+    from lodestone.operators import phrases
+
+    rng = random.Random(5)
+    rows = [(f"d{k}", [f"w{int(rng.random() ** 3 * 30)}é" for _ in range(rng.choice([0, 1, 2, 7, 60]))]) for k in range(200)] + [("e", [f"x{k}" for k in range(3000)])]
+    docs = spark.createDataFrame(rows, "doc string, tokens array<string>").repartition(3)
+    for least in (1, 5):
+        want = Counter(" ".join(t[i : i + n]) for _, t in rows for n in range(1, 6) for i in range(len(t) - n + 1))
+        found = {r.phrase: r.n for r in phrases.gram_counts(docs, 5, least).collect()}
+        assert found.pop(None) == sum(len(t) for _, t in rows)
+        assert found == {g: n for g, n in want.items() if n >= least}
+    bits, _ = phrases.frequent_pairs(docs, 5)
+    often = sum(n >= 5 for g, n in want.items() if g.count(" ") == 1)
+    assert len(bits) <= often * phrases.BITS / 8 + 8 * phrases.PARTS  # grows with what is frequent, not with the corpus
