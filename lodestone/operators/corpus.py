@@ -51,21 +51,41 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def inverse_tfidf_edges(docs: DataFrame) -> DataFrame:
+def weights_of_terms(docs: DataFrame) -> DataFrame:
+    """(term, df, idf, lo, hi): terms that at most half the documents have, and the least and greatest weight of their edges.
+
+    Weights with the same count in a document are the greater the longer it is, so the ends of each such group give the
+    range, to the last bit, before any edge is made.
+    """
+    counts = docs.select(F.size("tokens").alias("len"), F.explode(bag(F.col("tokens"))).alias("b")).select("len", "b.term", "b.tf")
+    same = counts.groupBy("term", "tf").agg(F.count("*").alias("n"), F.min("len").alias("short"), F.max("len").alias("long"))
+    terms = same.groupBy("term").agg(F.sum("n").alias("df"), F.collect_list(F.struct("tf", "short", "long")).alias("same"))
+    n = docs.agg(F.count("*").alias("n"))
+    rare = terms.where("term is not null").join(F.broadcast(n)).withColumn("ratio", F.expr("n div df")).where("ratio >= 2")
+    rare = rare.select("term", "df", F.ln(F.col("ratio").cast("double")).alias("idf"), "same")
+    weight = lambda end: F.transform("same", lambda x: x[end] / (x["tf"] * F.col("idf")))
+    return rare.select("term", "df", "idf", F.array_min(weight("short")).alias("lo"), F.array_max(weight("long")).alias("hi"))
+
+
+def inverse_tfidf_edges(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(doc, term, weight): length / (tf * ln(N div df)); near words are rare ones that a document often has.
 
     The division is of integers, so a term that over half the documents have has no edge. Each row is a document
     of its own, also where labels repeat, and is counted by itself, so only the join moves its terms. There are at most twice as many terms that over half the documents have
     as the mean document has different ones, so these are broadcast, and leave before anything is joined.
+    terms: what ``weights_of_terms`` gives, if it is kept; edges then meet it without being sorted.
     """
     rows = docs.select("doc", F.size("tokens").alias("len"), F.explode(bag(F.col("tokens"))).alias("b"))
     counts = rows.select("doc", "len", "b.term", "b.tf")
+    weight = (F.col("len") / (F.col("tf") * F.col("idf"))).alias("weight")
+    if terms is not None:
+        return counts.join(terms.select("term", "idf").hint("shuffle_hash"), "term").select("doc", "term", weight)
     df = document_frequency(docs)
     n = docs.agg(F.count("*").alias("n"))
     idf = df.join(F.broadcast(n)).select("term", F.expr("n div df").alias("ratio"))
     common = idf.where("ratio < 2").select("term")
     rare = idf.where("ratio >= 2").select("term", F.ln(F.col("ratio").cast("double")).alias("idf"))
-    return counts.join(F.broadcast(common), "term", "left_anti").join(rare, "term").select("doc", "term", (F.col("len") / (F.col("tf") * F.col("idf"))).alias("weight"))
+    return counts.join(F.broadcast(common), "term", "left_anti").join(rare, "term").select("doc", "term", weight)
 
 
 def frequent_words(docs: DataFrame, least: int) -> DataFrame:

@@ -121,25 +121,28 @@ def shortest_path(edges: DataFrame, source: object, target: object, rounds: int
         sym.unpersist()
 
 
-def first_found_path(edges: DataFrame, source: object, target: object, exact: bool = False) -> list[tuple[object, float]]:
+def first_found_path(edges: DataFrame, source: object, target: object, exact: bool = False, keep: bool = False) -> list[tuple[object, float]]:
     """The path in the first ball around both ends that connects them; with ``exact``, the shortest of all.
 
-    The ball grows by one hop a round; if it grows no more, NoPath is raised.
+    The ball grows by one hop a round; if it grows no more, NoPath is raised. keep: edges that are dear to make are
+    kept if the ball must grow; for its first hop the two ends are sought while they are made.
     """
     if exact:
         return shortest_path(edges, source, target)
     spark = edges.sparkSession
-    nodes = spark.createDataFrame([(source,), (target,)], ["node"]).distinct()
+    near = checkpoint(edges.where(F.col("a").isin(source, target) | F.col("b").isin(source, target)))
+    ends = spark.createDataFrame([(source,), (target,)], ["node"])
     size = 0
     while True:
-        near, nodes = expand(edges, nodes)
-        near, nodes = checkpoint(near), checkpoint(nodes)
         try:
             return shortest_path(near, source, target)
         except NoPath:
+            nodes = checkpoint(near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(ends).distinct())
             if (now := nodes.count()) == size:
                 raise
             size = now
+        edges, keep = (checkpoint(edges) if keep else edges), False
+        near = checkpoint(incident(edges, nodes))
 
 
 def nearest(edges: DataFrame, sources: DataFrame, n: int, wanted: DataFrame | None = None, include_source: bool = False, rounds: int | None = None) -> DataFrame:

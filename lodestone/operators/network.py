@@ -31,12 +31,13 @@ def least_by_pair(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w"))
 
 
-def scaled(edges: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
+def scaled(edges: DataFrame, weights: Mapping[str, float] | None = None, ranges: DataFrame | None = None) -> DataFrame:
     """(source, a, b, w): per source weight * (w - min) / (max - min), 0 where all are equal.
 
-    Ranges are few rows, one for each source, made by partial sums and joined back.
+    Ranges (source, lo, hi) are few rows, one for each source, joined back. Unless they are given they are made by
+    partial sums, which makes the edges once more.
     """
-    ranges = edges.groupBy("source").agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
+    ranges = edges.groupBy("source").agg(F.min("w").alias("lo"), F.max("w").alias("hi")) if ranges is None else ranges
     factor = weight_of(F.col("source"), weights) if weights else F.lit(1.0)
     w = F.when(F.col("hi") == F.col("lo"), 0.0).otherwise((F.col("w") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))
     return edges.join(F.broadcast(ranges), "source").select("source", "a", "b", (factor * w).alias("w"))
@@ -70,15 +71,19 @@ def encode(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(left, "a", "left").join(right, "b", "left").select(known("src", F.col("a")), known("dst", F.col("b")), "w")
 
 
-def union(parts: Mapping[str, DataFrame], weights: Mapping[str, float] = SOURCES) -> DataFrame:
-    """(source, a, b, w): edges of all sources, scaled by source."""
-    made = None
+def union(parts: Mapping[str, DataFrame], weights: Mapping[str, float] = SOURCES, ranges: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """(source, a, b, w): edges of all sources, scaled by source. ranges: (lo, hi) of the sources' weights, where it is known."""
+    made = limits = None
     for source, edges in sorted(parts.items()):
+        known = (ranges or {}).get(source)
+        known = edges.agg(F.min("w").cast("double").alias("lo"), F.max("w").cast("double").alias("hi")) if known is None else known
+        known = known.select(F.lit(source).alias("source"), "lo", "hi")
+        limits = known if limits is None else limits.unionByName(known)
         one = edges.select(F.lit(source).alias("source"), "a", "b", F.col("w").cast("double").alias("w"))
         made = one if made is None else made.unionByName(one)
     if made is None:
         raise ValueError("no sources")
-    return scaled(made, {s: weights.get(s, 1.0) for s in parts})
+    return scaled(made, {s: weights.get(s, 1.0) for s in parts}, limits)
 
 
 def finalize(parts: Mapping[str, DataFrame], weights: Mapping[str, float] = SOURCES) -> tuple[DataFrame, DataFrame]:

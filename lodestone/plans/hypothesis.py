@@ -21,11 +21,11 @@ class Result:
     network: list[tuple] = field(default_factory=list)
 
 
-def path_of(edges: DataFrame, words: list[str], exact: bool = False) -> DataFrame:
-    """(leg, pos, label, dist): the path of each pair of words that follow each other."""
+def path_of(edges: DataFrame, words: list[str], exact: bool = False, keep: bool = False) -> DataFrame:
+    """(leg, pos, label, dist): the path of each pair of words that follow each other. keep: see ``first_found_path``."""
     rows = []
     for leg, (a, b) in enumerate(zip(words, words[1:])):
-        rows += [(leg, pos, str(n), float(d)) for pos, (n, d) in enumerate(graph.first_found_path(edges, a, b, exact))]
+        rows += [(leg, pos, str(n), float(d)) for pos, (n, d) in enumerate(graph.first_found_path(edges, a, b, exact, keep))]
     return edges.sparkSession.createDataFrame(rows, "leg int, pos int, label string, dist double")
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,33 @@ def test_bags_of_languages(spark, tmp_path, ids):
         want = con.execute(queries.SQL["merge_bags"]).fetchall()
     assert sorted(map(tuple, df.select("lang", "term", "tf").collect())) == sorted(want)
     assert len(set(ids)) < 3 or not moved(df, "doc")
+
+
+def test_weights_of_terms(spark):
+    """Ranges made without the edges are those of the edges to the last bit, and edges are the same with kept terms."""
+    rng = random.Random(11)
+    rows = [(f"d{k % 50}", [f"w{int(rng.random() ** 2 * 40)}" for _ in range(rng.randrange(0, 90))]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc string, tokens array<string>")
+    want = [tuple(r) for r in corpus.inverse_tfidf_edges(docs).collect()]
+    terms = corpus.weights_of_terms(docs)
+    assert sorted(tuple(r) for r in corpus.inverse_tfidf_edges(docs, terms).collect()) == sorted(want)
+    found = {r.term: (r.df, r.lo, r.hi) for r in terms.collect()}
+    assert found == {t: (len(ws), min(ws), max(ws)) for t in {t for _, t, _ in want} for ws in [[w for _, u, w in want if u == t]]}
+
+
+def test_edges_are_scaled_in_one_pass(spark):
+    from lodestone import queries
+
+    plan = queries.edge_minmax_scale(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Generate") == 1
+
+
+def test_path_seeks_ends_before_edges_are_joined(spark):
+    """Of the edges of the first ball only those of the two ends meet the terms' weights."""
+    from lodestone import queries
+
+    edges, lim, _ = queries.tfidf_of(spark, "/root/testdata/sf0.001")
+    near = queries.network.union({"paper_ngram": edges}, ranges={"paper_ngram": lim}).where(F.col("a").isin("x", "y") | F.col("b").isin("x", "y"))
+    lines = near._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda text: [len(x) - len(x.lstrip(" :+-")) for x in lines if text in x]
+    assert max(depth("Filter ((")) > max(depth("Join Inner"))

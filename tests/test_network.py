@@ -231,3 +231,12 @@ def test_both_directions_come_from_one_reading(spark):
     assert list(map(tuple, graph.undirected(e).collect())) == [("a", "b", 1.0)]
     for df in (graph.symmetric(e), graph.undirected(e)):
         assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kept_edges_of_a_growing_ball(spark):
+    """The ball grows over edges that are kept as well as over such that are made each time."""
+    e = edges(spark, ("s", "a", 1.0), ("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("d", "t", 1.0), ("s", "x", 0.1))
+    for keep in (False, True):
+        assert graph.first_found_path(e, "s", "t", keep=keep) == [(n, float(k)) for k, n in enumerate("sabcdt")]
+        with pytest.raises(graph.NoPath):
+            graph.first_found_path(e, "s", "nowhere", keep=keep)
