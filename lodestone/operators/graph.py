@@ -2,7 +2,7 @@
 
 Path searches relax a frontier: each round joins only nodes whose distance fell with the edges, keeps
 the least distance of each node, and writes the table to the shared folder. The driver sees counts only,
-and in the end the nodes of one path.
+and in the end the nodes of one path. Edges move once, to the partition of their first node.
 """
 
 from __future__ import annotations
@@ -22,16 +22,24 @@ class NoPath(ValueError):
     """Two nodes aren't connected."""
 
 
-def symmetric(edges: DataFrame) -> DataFrame:
-    """(a, b, w) in both directions, without loops, each pair once."""
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(a, b, w) in both directions, without loops."""
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # edges are made once, not for each direction
     both = edges.where("a <> b").select(ends.alias("e"), F.col("w").cast("double").alias("w"))
-    return both.groupBy(F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.min("w").alias("w"))
+    return both.select("e.a", "e.b", "w")
+
+
+def symmetric(edges: DataFrame) -> DataFrame:
+    """The same, each pair once."""
+    return both_ways(edges).groupBy("a", "b").agg(F.min("w").alias("w"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """The same, kept and partitioned by ``a`` for searches that join it each round; whoever asks for it unpersists it."""
-    return symmetric(edges).repartition(F.col("a")).persist(StorageLevel.MEMORY_AND_DISK)
+    """(a, b, w) in both directions, without loops, kept and partitioned by ``a`` for searches that join it each round.
+
+    Pairs may repeat, as searches take the least distance anyway. Whoever asks for it unpersists it.
+    """
+    return both_ways(edges).repartition(F.col("a")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -70,17 +78,14 @@ def distances(edges: DataFrame | None, sources: DataFrame, rounds: int | None =
     frontier, k = best, 0
     while rounds is None or k < rounds:
         k += 1
-        step = frontier.select("source", F.col("node").alias("a"), "dist").join(sym, "a").groupBy("source", F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        # The frontier is hashed, so edges aren't sorted in each round.
+        step = frontier.select("source", F.col("node").alias("a"), "dist").hint("shuffle_hash").join(sym, "a").select("source", F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
         if target is not None:
             goal = best.where(F.col("node") == F.lit(target)).select("source", F.col("dist").alias("goal"))
             step = step.join(F.broadcast(goal), "source", "left").where(F.col("goal").isNull() | (F.col("dist") < F.col("goal"))).drop("goal")
-        old = best.select("source", "node", F.col("dist").alias("old"), F.col("hops").alias("old_hops"))
-        merged = old.join(step, ["source", "node"], "full").select(
-            "source",
-            "node",
-            F.least("dist", "old").alias("dist"),
-            F.when(F.col("old").isNull() | (F.col("dist") < F.col("old")), F.lit(k)).otherwise(F.col("old_hops")).alias("hops"),
-        )
+        # Of equal distances the earlier stays.
+        every = best.unionByName(step.select("source", "node", "dist", F.lit(k).alias("hops")))
+        merged = every.groupBy("source", "node").agg(F.min("dist").alias("dist"), F.min_by("hops", F.struct("dist", "hops")).alias("hops"))
         if within is not None:
             merged = checkpoint(merged)
             merged = merged.join(F.broadcast(within(merged)), "source", "left").where(F.col("bound").isNull() | (F.col("dist") <= F.col("bound") + EPS)).drop("bound")
@@ -111,7 +116,7 @@ def shortest_path(edges: DataFrame, source: object, target: object, rounds: int
         path = [(target, float(end["dist"]))]
         while path[-1][0] != source:
             node, dist = path[-1]
-            before = sym.where(F.col("b") == F.lit(node)).join(found.withColumnRenamed("node", "a"), "a")
+            before = sym.where(F.col("a") == F.lit(node)).select(F.col("b").alias("a"), "w").join(found.withColumnRenamed("node", "a"), "a")
             before = before.where(F.abs(F.col("dist") + F.col("w") - F.lit(dist)) < EPS)
             # Nearer nodes first; edges of weight 0 may lead to others of the same distance.
             tight = before.where((F.col("dist") < F.lit(dist)) | ~F.col("a").isin([n for n, _ in path])).orderBy(F.col("dist") >= F.lit(dist), "a").first()

@@ -21,10 +21,14 @@ def weight_of(code: Column, weights: Mapping[str, float]) -> Column:
     return out
 
 
+def known_relations(rows: DataFrame, weights: Mapping[str, float] = RELATIONS) -> DataFrame:
+    """(a, b, w) of (a, rel, b): all known relations between different ends, as they stand."""
+    return rows.select("a", "b", weight_of(F.col("rel"), weights).alias("w")).where((F.col("a") != F.col("b")) & F.col("w").isNotNull())
+
+
 def relation_edges(rows: DataFrame, weights: Mapping[str, float] = RELATIONS) -> DataFrame:
     """(a, b, w) of (a, rel, b): known relations between different ends, the least weight of each unordered pair."""
-    known = rows.select("a", "b", weight_of(F.col("rel"), weights).alias("w")).where((F.col("a") != F.col("b")) & F.col("w").isNotNull())
-    return least_by_pair(known)
+    return least_by_pair(known_relations(rows, weights))
 
 
 def least_by_pair(edges: DataFrame) -> DataFrame:

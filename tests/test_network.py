@@ -240,3 +240,21 @@ def test_kept_edges_of_a_growing_ball(spark):
         assert graph.first_found_path(e, "s", "t", keep=keep) == [(n, float(k)) for k, n in enumerate("sabcdt")]
         with pytest.raises(graph.NoPath):
             graph.first_found_path(e, "s", "nowhere", keep=keep)
+
+
+def test_search_moves_edges_once(spark):
+    """Edges are shuffled once for a search, repeated pairs and loops as they stand, and distances are those of the least weights."""
+    from lodestone import queries
+
+    made = graph.adjacency(queries.all_relations(spark, "/root/testdata/sf0.001"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    made.unpersist()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
+    rng = random.Random(8)
+    rows = [(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", rng.randrange(0, 9) / 4) for _ in range(60)]
+    e = edges(spark, *rows, *rows[:20], ("n0", "n0", 0.5))
+    found = {r.node: (r.dist, r.hops) for r in graph.distances(e, spark.createDataFrame([("n0",)], ["source"])).collect()}
+    assert {n: d for n, (d, _) in found.items()} == pytest.approx(brute(rows, "n0")) and found["n0"] == (0.0, 0)
+    path = graph.shortest_path(e, "n0", "n5")
+    least = lambda x, y: min(w for a, b, w in rows if {a, b} == {x, y})
+    assert all(d2 - d1 == least(x, y) for (x, d1), (y, d2) in zip(path, path[1:])) and path[-1][1] == found["n5"][0]
